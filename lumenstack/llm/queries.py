@@ -5,11 +5,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lumenstack.llm import oracles
 from lumenstack.session import table
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenstack.llm.mixing import mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op7_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenstack.llm.sharding import shard_by_bytes
+
+    found = shard_by_bytes(table(spark, sf_dir, "documents"), shards=24)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenstack.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenstack.llm.token_counts import count_tokens
 
