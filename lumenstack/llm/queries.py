@@ -17,6 +17,14 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenstack.llm.decontamination import find_hits
+
+    found = find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    joined = F.array_join("items", ",").cast("binary")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op7_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenstack.llm.sharding import shard_by_bytes
 
@@ -24,6 +32,12 @@ def op7_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenstack.llm.order_minhash import edited_fingerprints
+
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenstack.llm.licenses import scan_licenses
 
