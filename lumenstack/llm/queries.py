@@ -11,6 +11,12 @@ from lumenstack.llm import oracles
 from lumenstack.session import table
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenstack.llm.simhash import simhash_components
+
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenstack.llm.mixing import mix_sources
 
