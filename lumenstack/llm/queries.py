@@ -17,6 +17,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenstack.llm.substrings import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), texts=False)
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenstack.llm.mixing import mix_sources
 
