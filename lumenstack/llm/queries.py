@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenstack.llm import oracles
+from lumenstack.llm.text import fold
 from lumenstack.session import table
 
 
@@ -29,6 +30,24 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenstack.llm.quality import fit, score_quality
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id")) != 2)
+    scored = score_quality(docs, model)
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenstack.llm.language import identify_language, learn_samples
+
+    docs = table(spark, sf_dir, "documents")
+    samples = learn_samples(docs, fold(F.col("doc_id")) != 2)
+    found = identify_language(docs, samples)
+    return found.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenstack.llm.decontamination import find_hits
 
