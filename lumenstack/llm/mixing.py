@@ -88,23 +88,38 @@ def thresholds(rows: DataFrame, targets: DataFrame) -> DataFrame:
     return state.select("source", "source_size", "target", "whole", cut.alias("cut"))
 
 
-def mix_sources(
-    docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: bool = False
-) -> DataFrame:
-    """(id, size, source_size, target, taken) of every row; with `keep`, all columns of docs plus those in `_mix`.
+def row_hash(docs: DataFrame, id_col: str, text_col: str, source_col: str):
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in (id_col, source_col, text_col)]
+    return F.conv(F.substring(F.md5(F.concat_ws("\x1f", *parts).cast("binary")), 1, 15), 16, 10).cast("bigint")
 
-    taken = size x the number of copies of the row in the mix.
-    """
-    text, source = F.col(text_col).cast("string"), F.col(source_col).cast("string")
-    parts = [F.coalesce(c.cast("string"), F.lit("\x00")) for c in (F.col(id_col), source, text)]
-    digest = F.conv(F.substring(F.md5(F.concat_ws("\x1f", *parts).cast("binary")), 1, 15), 16, 10).cast("bigint")
-    size = F.coalesce(F.regexp_count(text, F.lit(SPACED_WORD)), F.lit(0)).cast("bigint")
-    rows = docs.select(F.col(id_col).alias("id"), source.alias("source"), digest.alias("hash"), size.alias("size"), *([F.struct("*").alias("row")] if keep else []))
-    rows = materialize(rows, "mix-rows")
+
+def cuts_by_source(rows: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
+    """Thresholds of all sources from (source, hash, size) of all rows."""
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    cuts = thresholds(rows.select("source", "hash", "size"), materialize(targets, "mix-targets")).withColumnRenamed("source", "s")
-    copies = F.col("whole") + F.when(F.col("hash") < F.col("cut"), 1).otherwise(0)
-    mixed = rows.join(cuts, rows["source"].eqNullSafe(F.col("s")))
-    if keep:
-        return mixed.select("row.*", F.struct("size", "source_size", "target", copies.alias("copies")).alias("_mix"))
-    return mixed.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * copies).alias("taken"))
+    return thresholds(rows.select("source", "hash", "size"), materialize(targets, "mix-targets")).withColumnRenamed("source", "_source")
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(SPACED_WORD)), F.lit(0)).cast("bigint")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), row_hash(docs, id_col, text_col, source_col).alias("hash"), size.alias("size"))
+    return materialize(rows, "mix-rows")
+
+
+def copies():
+    return F.col("whole") + F.when(F.col("hash") < F.col("cut"), 1).otherwise(0)
+
+
+def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(id, size, source_size, target, taken) of every row; taken = size x the number of copies of the row in the mix."""
+    rows = _sized(docs, id_col, text_col, source_col)
+    cuts = cuts_by_source(rows, weights, share, most)
+    mixed = rows.join(cuts, rows["source"].eqNullSafe(F.col("_source")))
+    return mixed.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * copies()).alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: each row of docs as often as it is taken."""
+    cuts = cuts_by_source(_sized(docs, id_col, text_col, source_col), weights, share, most)
+    rows = docs.select(F.struct("*").alias("row"), F.col(source_col).cast("string").alias("source"), row_hash(docs, id_col, text_col, source_col).alias("hash"))
+    mixed = rows.join(cuts, rows["source"].eqNullSafe(F.col("_source"))).select("row", copies().cast("int").alias("n")).where("n > 0")
+    return mixed.select("row", F.explode(F.array_repeat(F.lit(1), F.col("n")))).select("row.*")

@@ -8,8 +8,8 @@ most `radius` differing positions leave some v orthogonal to all their vectors:
 
 Only distinct fingerprints are linked, so exact copies cost nothing. They are shuffled once, by
 (mask, masked bits), and sorted; a task streams over the buckets and links inside each one exactly,
-emitting one edge from each fingerprint to the least of its part, never pairs. The 64 - 37 free bits
-of a bucket allow for at most 2^28 fingerprints in theory; one with more than BUCKET is split by the
+emitting one edge from each fingerprint to a near one found before it, never all pairs. The 27 free
+bits of a bucket allow for 2^27 fingerprints in theory; one with more than BUCKET is split by the
 same construction over its free bits, after which at most 2^12 are left in a part.
 
 Null and wordless texts have fingerprint zero and link like others. Null ids are kept; a component
@@ -33,6 +33,8 @@ from lumenstack.llm.text import word_chunks
 from lumenstack.session import materialize
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
+#: Shingle and radius by which candidates for verified near-duplicates are found; words and Jaccard similarity that they must have.
+CANDIDATES, VERIFY = (2, 5), (5, 0.8)
 BUCKET = 4096
 
 
@@ -71,107 +73,156 @@ def spread_positions() -> list[int]:
 
 
 def _parts(fps: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
-    """(fingerprint, least of its part) by search over one bucket of at most BUCKET distinct ones."""
-    left = np.sort(fps)
-    while len(left) > 1:
-        members, frontier, left = [left[:1]], left[:1], left[1:]
-        while len(frontier) and len(left):
-            near = np.zeros(len(left), bool)
+    """Edges (index, index) that connect each part of one bucket: every member is linked to a near one found before it."""
+    order = np.argsort(fps, kind="stable")
+    while len(order) > 1:
+        frontier, order = order[:1], order[1:]
+        while len(frontier) and len(order):
+            best, parent = np.full(len(order), 65), np.zeros(len(order), np.int64)
             for at in range(0, len(frontier), 64):
-                near |= (np.bitwise_count(frontier[at : at + 64, None] ^ left[None, :]) <= radius).any(axis=0)
-            frontier, left = left[near], left[~near]
-            members.append(frontier)
-        own = np.concatenate(members)
-        yield from zip(own[1:].tolist(), [int(own[0])] * (len(own) - 1))
+                block = frontier[at : at + 64]
+                far = np.bitwise_count(fps[block][:, None] ^ fps[order][None, :])
+                near, least = far.argmin(axis=0), far.min(axis=0)
+                closer = least < best
+                best[closer], parent[closer] = least[closer], block[near[closer]]
+            linked = best <= radius
+            yield from zip(order[linked].tolist(), parent[linked].tolist())
+            frontier, order = order[linked], order[~linked]
 
 
 def link_bucket(fps: np.ndarray, mask: int, radius: int, bucket: int = BUCKET) -> Iterator[tuple[int, int]]:
-    """Edges that connect all linked fingerprints of one bucket (unsigned, distinct, equal under `mask`)."""
+    """Edges (index, index) that connect all linked fingerprints of one bucket (unsigned, equal under `mask`)."""
     if len(fps) == 2:
         if int(fps[0] ^ fps[1]).bit_count() <= radius:
-            yield int(fps[1]), int(fps[0])
-    elif len(fps) <= bucket:
+            yield 1, 0
+        return
+    free = [p for p in spread_positions() if not mask >> p & 1]
+    if len(fps) <= bucket or len(free) <= 12:
         yield from _parts(fps, radius)
-    else:
-        free = [p for p in spread_positions() if not mask >> p & 1]
-        if len(free) <= 12:
-            yield from _parts(fps, radius)
-            return
-        for sub in covering_masks(radius, free):
-            keys = fps & np.uint64(sub)
-            order = np.argsort(keys, kind="stable")
-            cuts = np.flatnonzero(np.diff(keys[order])) + 1
-            for part in np.split(fps[order], cuts):
-                if len(part) > 1:
-                    yield from link_bucket(part, mask | sub, radius, bucket)
-
-
-def link_fingerprints(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges (u, v) of distinct fingerprints `fp` (bigint) that connect all pairs within the radius."""
+        return
+    for sub in covering_masks(radius, free):
+        keys = fps & np.uint64(sub)
+        order = np.argsort(keys, kind="stable")
+        cuts = np.flatnonzero(np.diff(keys[order])) + 1
+        for part in np.split(order, cuts):
+            if len(part) > 1:
+                yield from ((int(part[i]), int(part[j])) for i, j in link_bucket(fps[part], mask | sub, radius, bucket))
+
+
+def link_fingerprints(nodes: DataFrame, radius: int = RADIUS, node: str = "fp") -> DataFrame:
+    """Edges (u, v) of nodes (bigint) that connect all pairs whose fingerprints `fp` (bigint) are within the radius."""
     masks = covering_masks(radius, spread_positions())
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for t, m in enumerate(masks)])
-    rows = nodes.select("fp", F.explode(keys).alias("k")).select("k.t", "k.key", "fp")
-    rows = rows.repartition("t", "key").sortWithinPartitions("t", "key", "fp")
+    own = [] if node == "fp" else [node]
+    rows = nodes.select("fp", *own, F.explode(keys).alias("k")).select("k.t", "k.key", "fp", *own)
+    rows = rows.repartition("t", "key").sortWithinPartitions("t", "key", "fp", *own)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+        rest: tuple[np.ndarray, ...] | None = None
 
-        def link(t: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        def link(t: np.ndarray, key: np.ndarray, fp: np.ndarray, name: np.ndarray) -> pa.RecordBatch:
             new = (np.diff(t) != 0) | (np.diff(key) != 0)
             cuts = np.concatenate([[0], np.flatnonzero(new) + 1, [len(fp)]])
-            found = [e for a, b in zip(cuts[:-1], cuts[1:]) if b - a > 1 for e in link_bucket(fp[a:b].view(np.uint64), masks[t[a]], radius)]
-            pairs = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+            more = np.flatnonzero(np.diff(cuts) > 1)
+            found = [(a + i, a + j) for a, b in zip(cuts[more].tolist(), cuts[more + 1].tolist()) for i, j in link_bucket(fp[a:b].view(np.uint64), masks[t[a]], radius)]
+            pairs = name[np.array(found, np.int64).reshape(-1, 2)]
+            return pa.RecordBatch.from_arrays([pa.array(pairs.max(axis=1)), pa.array(pairs.min(axis=1))], names=["u", "v"])
 
         for batch in batches:
-            t, key, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            if not len(fp):
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 2 if node == "fp" else 3)]
+            if not batch.num_rows:
                 continue
             if rest is not None:
-                t, key, fp = (np.concatenate(x) for x in zip(rest, (t, key, fp)))
+                columns = [np.concatenate(x) for x in zip(rest, columns)]
             # the last bucket may go on in the next batch
-            same = (t == t[-1]) & (key == key[-1])
-            at = len(fp) - int(same.sum())
+            same = (columns[0] == columns[0][-1]) & (columns[1] == columns[1][-1])
+            at = len(same) - int(same.sum())
             if at:
-                yield link(t[:at], key[:at], fp[:at])
-            rest = (t[at:], key[at:], fp[at:])
+                yield link(*(c[:at] for c in columns))
+            rest = tuple(c[at:] for c in columns)
         if rest is not None:
             yield link(*rest)
 
     return rows.mapInArrow(run, "u bigint, v bigint")
 
 
-def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """(id, fingerprint, component_id) of every row; with `keep`, a struct `row` of all columns of docs too."""
-    extra = [F.struct("*").alias("row")] if keep else []
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *extra)
-    schema = T.StructType([rows.schema["id"], T.StructField("fp", T.LongType()), *([rows.schema["row"]] if keep else [])])
+def fingerprint_rows(docs: DataFrame, shingle: int, seed: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, text_hash, fp) of every row, written once."""
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    schema = T.StructType([rows.schema["id"], T.StructField("text_hash", T.LongType()), T.StructField("fp", T.LongType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((text_fingerprint(t.as_py(), shingle, seed) for t in batch.column(1)), np.uint64, batch.num_rows)
-            columns = [batch.column(0), pa.array(fps.view(np.int64)), *([batch.column(2)] if keep else [])]
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+            fps = np.fromiter((text_fingerprint(t.as_py(), shingle, seed) for t in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=schema.names)
 
-    rows = materialize(rows.mapInArrow(run, schema), "simhash-rows")
-    nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
-    found = connected_components(link_fingerprints(nodes, radius))
-    grouped = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    grouped = materialize(grouped, "simhash-roots")
-    classes = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = grouped.join(classes, "root").select("fp", "component_id")
-    out = rows.join(by_fp, "fp")
-    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *(["row"] if keep else []))
+    return materialize(rows.mapInArrow(run, schema), "simhash-rows")
 
 
-def keep_one_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs without near-duplicates: of each component, the row of least id stays.
+def classes_of(rows: DataFrame, node: str, edges) -> DataFrame:
+    """(node, least): for each node of the rows, the least (id is null, id, text_hash) of its component."""
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash"))
+    nodes = materialize(rows.groupBy(node, *(["fp"] if node != "fp" else [])).agg(first.alias("least")), "simhash-nodes")
+    found = connected_components(edges(nodes)).withColumnRenamed("node", "n")
+    roots = materialize(nodes.join(found, nodes[node] == found["n"], "left").select(node, "least", F.coalesce("root", node).alias("root")), "simhash-roots")
+    return roots.select(node, "root").join(roots.groupBy("root").agg(F.min("least").alias("least")), "root").select(node, "least")
 
-    Repeated rows of the least id are reduced to one; rows of a component without any id too.
+
+def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fingerprint, component_id) of every row; component_id is the least id reachable by links."""
+    rows = fingerprint_rows(docs, shingle, seed, id_col, text_col)
+    found = classes_of(rows.select("id", "text_hash", "fp"), "fp", lambda nodes: link_fingerprints(nodes, radius))
+    out = rows.join(found, "fp")
+    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least.id").alias("component_id"))
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of the distinct shingles, ascending."""
+    from xxhash import xxh64_intdigest as h
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    runs = [words[i : i + shingle] for i in range(len(words) - shingle + 1)] if len(words) >= shingle else [words][: len(words)]
+    return np.unique(np.fromiter((h(b" ".join(r)) for r in runs), np.uint64)).view(np.int64)
+
+
+def similar_edges(docs: DataFrame, edges: DataFrame, shingle: int, similarity: float, text_col: str) -> DataFrame:
+    """The edges (of text hashes) whose texts' shingle sets have a Jaccard similarity of at least `similarity`."""
+    edges = materialize(edges.distinct(), "simhash-edges")
+    ends = edges.select(F.explode(F.array("u", "v")).alias("n")).distinct()
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.xxhash64(text).alias("n"), text.alias("text")).join(ends, "n").groupBy("n").agg(F.first("text").alias("text"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = pa.array([shingle_set(t.as_py(), shingle) for t in batch.column(1)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["n", "own"])
+
+    sets = materialize(texts.mapInArrow(run, "n bigint, own array<bigint>"), "simhash-sets")
+    both = edges.join(sets.select(F.col("n").alias("u"), F.col("own").alias("a")), "u").join(sets.select(F.col("n").alias("v"), F.col("own").alias("b")), "v")
+    common = F.size(F.array_intersect("a", "b"))
+    return both.where(common >= F.lit(similarity) * (F.size("a") + F.size("b") - common)).select("u", "v")
+
+
+def keep_one_each(docs: DataFrame, shingle: int = CANDIDATES[0], radius: int = CANDIDATES[1], verify: tuple[int, float] | None = VERIFY, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs without near-duplicates: of each group, the row of least id stays (null ids last, then by text hash).
+
+    With `verify` = (words, similarity), texts are grouped by those SimHash links whose shingle sets are
+    that similar; equal texts always are one group. A member of a bucket is compared with the near one
+    that it was reached from, under each mask; comparing all pairs would grow with the square of a group.
+    Without, all SimHash links count.
     """
-    found = simhash_components(docs, id_col=id_col, keep=True, **options)
-    least = found.where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    # several rows may share the least id: number them inside (component, fingerprint, id), a group of repeated rows
-    w = W.partitionBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint"))).orderBy("fingerprint", F.xxhash64("row"))
-    return least.withColumn("n", F.row_number().over(w)).where("n = 1").select("row.*")
+    rows = fingerprint_rows(docs, shingle, seed, id_col, text_col)
+
+    def edges(nodes: DataFrame) -> DataFrame:
+        found = link_fingerprints(nodes, radius, "text_hash")
+        return similar_edges(docs, found, *verify, text_col) if verify else found
+
+    found = classes_of(rows, "text_hash", edges)
+    least = materialize(found.select("least.id", "least.text_hash").distinct(), "simhash-kept").select(F.col("id").alias("_id"), F.col("text_hash").alias("_text_hash"))
+    kept = docs.withColumns({"_hash": F.xxhash64(F.col(text_col).cast("string")), "_row": F.xxhash64(F.struct("*"))})
+    kept = kept.join(least, kept[id_col].eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text_hash")))
+    # repeated rows of the least id are reduced to one
+    w = W.partitionBy(kept[id_col], "_hash").orderBy("_row")
+    return kept.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*docs.columns)
