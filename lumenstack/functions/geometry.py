@@ -20,12 +20,21 @@ def vector(*xs: Column) -> Column:
     return F.array(*xs)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: an expression that is used n times in place would be copied n times, at every level."""
+    return F.transform(F.array(value), body)[0]
+
+
+def both(a: Column, b: Column, body) -> Column:
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda p: body(p["a"], p["b"]))
+
+
 def dot(a: Column, b: Column) -> Column:
-    return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+    return both(a, b, lambda a, b: a[0] * b[0] + a[1] * b[1] + a[2] * b[2])
 
 
 def cross(a: Column, b: Column) -> Column:
-    return F.array(a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])
+    return both(a, b, lambda a, b: F.array(a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -37,7 +46,7 @@ def scale(a: Column, k: Column) -> Column:
 
 
 def magnitude(a: Column) -> Column:
-    return F.sqrt(dot(a, a))
+    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x * x))
 
 
 def finite(x: Column) -> Column:
@@ -46,8 +55,7 @@ def finite(x: Column) -> Column:
 
 def normalized(a: Column) -> Column:
     """The unit vector, or null if the length is degenerate or not finite."""
-    length = magnitude(a)
-    return F.when(finite(length) & (length > EPSILON), F.transform(a, lambda x: x / length))
+    return both(a, magnitude(a), lambda v, n: F.when(finite(n) & (n > EPSILON), F.transform(v, lambda x: x / n)))
 
 
 def row_axis(orientation: Column) -> Column:
@@ -77,12 +85,15 @@ def valid_geometry(g: Column) -> Column:
 
 def in_plane_transform(source: Column, target: Column) -> Column:
     """struct(origin, row_step, column_step): target pixel (row, column) to source pixel; null for invalid geometry."""
-    sr, sc = row_axis(source["orientation"]), column_axis(source["orientation"])
-    tr, tc = row_axis(target["orientation"]), column_axis(target["orientation"])
-    delta = subtract(target["position"], source["position"])
-    down, right = scale(tc, target["spacing"][0]), scale(tr, target["spacing"][1])
-    place = lambda v: F.array(dot(v, sc) / source["spacing"][0], dot(v, sr) / source["spacing"][1])
-    return F.when(valid_geometry(source) & valid_geometry(target), F.struct(place(delta).alias("origin"), place(down).alias("row_step"), place(right).alias("column_step")))
+    axes = F.struct(*[f(g["orientation"]).alias(n) for n, f, g in (("sr", row_axis, source), ("sc", column_axis, source), ("tr", row_axis, target), ("tc", column_axis, target))])
+
+    def steps(x: Column) -> Column:
+        place = lambda v: F.array(dot(v, x["sc"]) / source["spacing"][0], dot(v, x["sr"]) / source["spacing"][1])
+        delta = subtract(target["position"], source["position"])
+        down, right = scale(x["tc"], target["spacing"][0]), scale(x["tr"], target["spacing"][1])
+        return F.struct(place(delta).alias("origin"), place(down).alias("row_step"), place(right).alias("column_step"))
+
+    return F.when(valid_geometry(source) & valid_geometry(target), let(axes, steps))
 
 
 def coplanar_transform(source: Column, target: Column, plane: float = PLANE_DISTANCE, orientation: float = ORIENTATION) -> Column:
