@@ -165,19 +165,17 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE,
 
 
 def score_quality(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """(id, score) of every row, with `keep` all columns of docs and `_score`: one narrow pass."""
-    extra = [F.struct("*").alias("row")] if keep else []
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *extra)
-    fields = [rows.schema["row"]] if keep else [rows.schema["id"]]
-    schema = T.StructType([*fields, T.StructField("score", T.DoubleType())])
+    """(id, score) of every row, with `keep` all columns of docs and `_score`: one narrow pass.
+
+    Only the text goes to Python and only the score comes back; the other columns stay in the JVM.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
-        for batch in batches:
-            texts = (t.as_py() for t in batch.column(1))
-            scores = list(model.scores(texts)) if model else [0.5] * batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(2 if keep else 0), pa.array(scores, pa.float64())], names=schema.names)
+        for texts in batches:
+            yield pa.array(model.scores(t.as_py() for t in texts) if model else [0.5] * len(texts), pa.float64())
 
-    out = rows.mapInArrow(run, schema)
-    return out.select("row.*", F.col("score").alias("_score")) if keep else out.withColumnRenamed("id", id_col)
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    score = F.arrow_udf(run, "double")(F.col(text_col).cast("string"))
+    return docs.withColumn("_score", score) if keep else docs.select(id_col, score.alias("score"))
