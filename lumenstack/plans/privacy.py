@@ -84,7 +84,7 @@ TAGS_SQL = """
     "mask_rule_ladder",
     f"""
     SELECT row_id, CASE WHEN grp % 2 = 1 AND NOT (elem BETWEEN 16 AND 255) THEN '[masked]' WHEN grp % 2 = 1 OR trim(value) = '' THEN value
-        WHEN grp = 16 AND elem = 32 THEN 'MASKED-0007' WHEN grp = 16 AND elem = 16 THEN 'Patient 0007'
+        WHEN grp = 16 AND elem = 32 THEN 'MASKED-0007' WHEN grp = 16 AND elem = 16 THEN 'Patient 0007' WHEN grp = 16 AND elem = 48 THEN '[masked]'
         WHEN vr = 'TM' THEN value WHEN vr = 'AS' THEN '089Y'
         WHEN vr = 'PN' OR (grp = 8 AND elem IN (16, 48)) OR grp = 20480 THEN '[masked]' ELSE value END AS masked
     FROM ({TAGS_SQL})
