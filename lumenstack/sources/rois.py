@@ -47,7 +47,8 @@ def parse_rois(rows: DataFrame, resolve: Callable[[DataFrame], DataFrame]) -> Da
     is 0, fractions are rounded, halves away from zero.
     """
     path = F.trim(F.coalesce("anon_dicom_path", F.lit("")))
-    has = lambda c: c in rows.columns
+    given = set(rows.columns)
+    has = given.__contains__
     kept = rows.select("row", path.alias("path"), F.trim("ROI_coords").alias("coords_text"), F.trim("num_ROI").alias("count_text") if has("num_ROI") else F.lit(None).cast("string").alias("count_text"), F.trim("ROI_frames").alias("frames_text") if has("ROI_frames") else F.lit(None).cast("string").alias("frames_text"))
     empty = kept.where(F.col("path") == "").select("row", F.lit("empty_path").alias("problem"))
     found = resolve(kept.where((F.col("path") != "") & (F.octet_length("path") <= MAX_PATH)))
