@@ -216,10 +216,14 @@ class Bucket:
     """All super-k-mers of one bucket; finds the windows that occur more than once."""
 
     def __init__(self, window: int):
-        self.window, self.number, self.blocks = window, defaultdict(count().__next__), []
+        self.window, self.number, self.blocks, self.hashes = window, defaultdict(count().__next__), [], []
 
     def add(self, data: bytes) -> None:
+        """Number the block's words and hash its windows; only hashes and places are kept for the whole bucket."""
         block = Block.unpack(data)
+        words = word_hash(block.vocabulary)[block.numbers]
+        firsts = np.cumsum(block.lengths) - block.lengths
+        self.hashes.append(run_hashes(words, self.window)[ragged(firsts, block.lengths - self.window + 1)])
         to = np.fromiter((self.number[w] for w in block.vocabulary), np.int32, len(block.vocabulary))
         block.numbers, block.vocabulary = to[block.numbers], []
         self.blocks.append(block)
@@ -239,7 +243,7 @@ class Bucket:
         firsts = np.cumsum(lengths) - lengths
         windows = lengths - self.window + 1
         at, row = ragged(firsts, windows), np.repeat(np.arange(len(lengths)), windows)
-        hashes = run_hashes(word_hash(self.number)[flat], self.window)[at]
+        hashes = np.concatenate(self.hashes)
         order = np.argsort(hashes, kind="stable")
         new = np.ones(len(order), bool)
         new[1:] = hashes[order[1:]] != hashes[order[:-1]]
@@ -358,7 +362,7 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, minimiser: int = MINIM
                         part = []
                 if part:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), (pa.binary(), pa.int64(), pa.int64(), pa.binary()))], names=names)
-            bucket.blocks = []
+            bucket.blocks, bucket.hashes = [], []
 
     blocks = rows.mapInArrow(split, "bucket int, salted boolean, block binary")
     found = blocks.repartitionById(buckets, "bucket").mapInArrow(find, "key binary, start bigint, end bigint, words binary")
