@@ -294,11 +294,15 @@ class Bucket:
             yield (text, None, 0) if total[classes[i]] > 1 else (text, keys[place].tobytes(), int(offsets[place] + i - base[i]))
 
 
+def bucket_count(rows: DataFrame) -> int:
+    """As many buckets as BUCKET_BYTES of text need, and at least one a shuffle partition."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+
+
 def repeated_spans(rows: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER) -> DataFrame:
     """(key, start, end): word ranges covered by windows that occur more than once. rows: (key binary(16), text)."""
-    spark = rows.sparkSession
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    buckets = bucket_count(rows)
 
     def sample(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -377,40 +381,93 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, minimiser: int = MINIM
     return plain.union(again)
 
 
+def text_blocks(rows: DataFrame, parts: int) -> DataFrame:
+    """(part, block): rows (key, id, text) of each batch by the key's part, as one compressed Arrow stream each."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            part = batch.column(0).to_numpy(zero_copy_only=False)
+            order = np.argsort(part, kind="stable")
+            own = pa.RecordBatch.from_arrays(batch.columns[1:], names=["key", "id", "text"]).take(pa.array(order))
+            edges = [0, *(np.flatnonzero(np.diff(part[order])) + 1).tolist(), len(order)]
+            for a, b in zip(edges[:-1], edges[1:]):
+                if a < b:
+                    # a slice alone would write the whole batch's buffers
+                    piece = own.slice(a, b - a)
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, piece.schema) as writer:
+                        writer.write_batch(piece)
+                    data = pack.compress(sink.getvalue().to_pybytes())
+                    yield pa.RecordBatch.from_arrays([pa.array([part[order[a]]], pa.int32()), pa.array([data], pa.binary())], names=["part", "block"])
+
+    return rows.select(part_of("key", parts), "key", "id", "text").mapInArrow(run, "part int, block binary")
+
+
+def part_of(key: str, parts: int):
+    return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part")
+
+
+def without_spans(text: str, spans: list[tuple[int, int]], texts: bool) -> tuple:
+    """(words, removed, sha256 of the kept words, kept words) of one text, a bounded number of words at a time."""
+    digest, kept_words, n, removed, first = hashlib.sha256(), [], 0, 0, True
+    for words in word_chunks(text.encode("utf-8", "surrogatepass")):
+        kept = words
+        if spans:
+            keep = np.ones(len(words), bool)
+            for a, b in spans:
+                if b > n and a < n + len(words):
+                    keep[max(0, a - n) : b - n] = False
+            kept = [w for w, k in zip(words, keep.tolist()) if k]
+        n += len(words)
+        removed += len(words) - len(kept)
+        part = b" ".join(kept)
+        if part:
+            digest.update(part if first else b" " + part)
+            first = False
+            if texts:
+                kept_words.append(part)
+    return n, removed, digest.hexdigest(), b" ".join(kept_words).decode("utf-8", "surrogatepass")
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER, id_col: str = "doc_id", text_col: str = "text", texts: bool = True) -> DataFrame:
-    """(id, n_words, n_removed, kept_sha256[, kept]) of every row; `kept` is the kept words joined by one space."""
+    """(id, n_words, n_removed, kept_sha256[, kept]) of every row; `kept` is the kept words joined by one space.
+
+    Texts and spans meet by parts of BUCKET_BYTES of text. Texts travel compressed, so the texts' shuffle
+    is less than half of what it would be as rows.
+    """
     text = F.col(text_col).cast("string")
     key = F.unhex(F.md5(F.concat_ws("\x1f", F.coalesce(F.col(id_col).cast("string"), F.lit("\x00")), F.coalesce(text, F.lit("\x00"))).cast("binary")))
     rows = docs.select(key.alias("key"), F.col(id_col).alias("id"), text.alias("text"))
-    spans = repeated_spans(rows.select("key", "text"), window, minimiser)
-    spans = spans.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))  # at most one a word of the text
-    joined = rows.join(spans, "key", "left").select("id", "text", F.col("spans.start").alias("start"), F.col("spans.end").alias("end"))
+    parts = bucket_count(rows)
+    spans = repeated_spans(rows.select("key", "text"), window, minimiser).select(part_of("key", parts), "key", "start", "end")
     long = T.LongType()
     fields = [rows.schema["id"], T.StructField("n_words", long), T.StructField("n_removed", long), T.StructField("kept_sha256", T.StringType())]
     schema = T.StructType(fields + [T.StructField("kept", T.StringType())] * texts)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for text, start, end in zip(*(batch.column(i) for i in (1, 2, 3))):
-                digest, kept_words, n, removed, first = hashlib.sha256(), [], 0, 0, True
-                spans = sorted(zip(start.as_py() or [], end.as_py() or []))
-                for words in word_chunks((text.as_py() or "").encode("utf-8", "surrogatepass")):
-                    keep = np.ones(len(words), bool)
-                    for a, b in spans:
-                        if b > n and a < n + len(words):
-                            keep[max(0, a - n) : b - n] = False
-                    n += len(words)
-                    removed += len(words) - int(keep.sum())
-                    part = b" ".join([w for w, k in zip(words, keep.tolist()) if k] if spans else words)
-                    if part:
-                        digest.update(part if first else b" " + part)
-                        first = False
-                        if texts:
-                            kept_words.append(part)
-                out.append((n, removed, digest.hexdigest(), *([b" ".join(kept_words).decode("utf-8", "surrogatepass")] if texts else [])))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
-            columns = [pa.array([o[i] for o in out], kinds[i]) for i in range(3 + texts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=schema.names)
-
-    return joined.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    def run(blocks: pa.Table, spans: pa.Table) -> pa.Table:
+        import zstandard
+
+        covered: dict[bytes, list] = defaultdict(list)
+        for k, a, b in zip(spans.column("key").to_pylist(), spans.column("start").to_pylist(), spans.column("end").to_pylist()):
+            covered[k].append((a, b))
+        unpack, out = zstandard.ZstdDecompressor(), []
+        for block in blocks.column("block"):
+            with pa.ipc.open_stream(unpack.decompress(block.as_py())) as stream:
+                for batch in stream:
+                    found = [without_spans(t.as_py() or "", sorted(set(covered.get(k.as_py(), ()))), texts) for k, t in zip(batch.column(0), batch.column(2))]
+                    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()][: 3 + texts]
+                    out.append(pa.RecordBatch.from_arrays([batch.column(1), *(pa.array([f[i] for f in found], k) for i, k in enumerate(kinds))], names=schema.names))
+        return pa.Table.from_batches(out) if out else empty.slice(0)
+
+    empty = pa.table({f.name: pa.array([], _arrow_type(f.dataType)) for f in schema.fields})
+    found = text_blocks(rows, parts).groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(run, schema)
+    return found.withColumnRenamed("id", id_col)
+
+
+def _arrow_type(kind: T.DataType) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(kind)
