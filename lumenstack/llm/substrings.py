@@ -45,8 +45,9 @@ WINDOW, MINIMISER = 35, 4
 BATCH_WORDS = 2_000_000
 SEGMENT_WORDS = 500_000
 BUCKET_BYTES = 16 << 20
-#: Of ROUTE_PART documents one is looked at for hot minimisers; at ROUTE_SHARE of a bucket's mean a minimiser is hot.
-ROUTE_PART, ROUTE_SHARE, SALTS = 64, 0.5, 64
+#: Of ROUTE_PART documents one is looked at for hot minimisers; at ROUTE_SHARE of a bucket's mean,
+#: and ROUTE_FLOOR windows, a minimiser is hot.
+ROUTE_PART, ROUTE_SHARE, ROUTE_FLOOR, SALTS = 64, 0.5, 64, 64
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -194,7 +195,13 @@ class Batch:
             n = windows[order[rest]] + extra
             same = numbers[ragged(starts[order[rest]], n)] == numbers[ragged(starts[order[lead]], n)]
             head[rest[~np.logical_and.reduceat(same, np.cumsum(n) - n)]] = True
-        words, keys = np.array(list(self.number), object), np.array(self.keys, "V16")
+        # Words are numbered anew in byte order, so that a block's vocabulary is sorted and compresses better.
+        words = np.array(list(self.number), object)
+        by_word = np.argsort(words)
+        words, keys = words[by_word], np.array(self.keys, "V16")
+        place = np.empty(len(words), np.int32)
+        place[by_word] = np.arange(len(words), dtype=np.int32)
+        numbers = place[numbers]
         mark = np.zeros(len(words), bool)
         edges = np.flatnonzero(np.diff(bucket[order] * 2 + salted[order])) + 1
         for own in np.split(np.arange(len(order)), edges):
@@ -321,7 +328,7 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, minimiser: int = MINIM
     # The share of one bucket: at most buckets / ROUTE_SHARE minimisers can be above it.
     routing = materialize(routing, "substring-routing")
     total = routing.agg(F.sum("n")).first()[0] or 0
-    bar = max(64, ROUTE_SHARE * total / buckets)
+    bar = max(ROUTE_FLOOR, ROUTE_SHARE * total / buckets)
     hot = np.array([r[0] for r in routing.where(F.col("n") >= bar).select("least").collect()], np.int64).view(np.uint64)
 
     def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
