@@ -24,6 +24,7 @@ K, L, BINS_LOG2 = 2, 2, 6
 POS = 26  # bits of a position
 #: Bytes of text that one ordered bucket should hold.
 BUCKET_BYTES = 32 << 20
+SPREAD = 4
 SPACES = " \t\n\x0b\x0c\r"
 
 
@@ -82,7 +83,8 @@ def buckets_by_id(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFram
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text_col)).alias("b"), F.min(id_col).alias("lo"), F.max(id_col).alias("hi")).first()
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size["b"] or 0) // BUCKET_BYTES))
+    # several buckets a partition, so that no partition is much larger than the others
+    n = max(1, SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size["b"] or 0) // BUCKET_BYTES))
     if size["lo"] is None:
         cut = docs.withColumn("bucket", F.lit(0))
     else:
