@@ -73,14 +73,19 @@ class Automaton:
             last = cur
 
     def table(self, classes: int, pad: int) -> np.ndarray:
-        """Flat transitions by state x classes + class: (next state x classes) x 2, plus 1 where a new phrase begins."""
-        out = np.zeros((len(self.next), classes), np.int32)
+        """Flat transitions by state x classes + class: (next state x classes) x 2, plus 1 where a new phrase begins.
+
+        The last state stands for "no phrase is open": at the start, and after a character of no phrase,
+        which is a phrase by itself.
+        """
+        none = len(self.next)
+        out = np.zeros((none + 1, classes), np.int32)
         root = self.next[0]
-        out[:] = [root.get(c, 0) * classes * 2 + 1 for c in range(classes)]
+        out[:] = [root.get(c, none) * classes * 2 + 1 for c in range(classes)]
         for s, own in enumerate(self.next):
             for c, t in own.items():
                 out[s, c] = t * classes * 2
-            out[s, pad] = s * classes * 2
+        out[:, pad] = np.arange(none + 1) * classes * 2
         return out.ravel()
 
 
@@ -107,6 +112,7 @@ class Identifier:
         self.bases = np.cumsum([0, *map(len, tables)])[:-1].astype(np.int32)
         # the states of language k lie bases[k] further on
         parts = [t + 2 * b for t, b in zip(tables, self.bases)]
+        self.starts = np.array([b + len(t) - self.n for t, b in zip(tables, self.bases)], np.int32)
         self.table = np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)
 
     def coded(self, points: np.ndarray) -> tuple[np.ndarray, bool]:
@@ -127,8 +133,8 @@ class Identifier:
             for i, b in enumerate(blocks):
                 lanes[i, : len(b)] = b
             steps = np.ascontiguousarray(lanes.T).astype(np.int32)
-            state = np.repeat(self.bases[:, None], len(blocks), axis=1)
-            found = np.ones(state.shape, np.int32)
+            state = np.repeat(self.starts[:, None], len(blocks), axis=1)
+            found = np.zeros(state.shape, np.int32)
             for c in steps:
                 v = self.table.take(state + c)
                 found += v & 1
