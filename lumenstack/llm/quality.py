@@ -1,7 +1,7 @@
 """Quality classifier: nearest-neighbour voting in latent-semantic space.
 
 Terms are word shapes (upper case, lower case, digits, each other character; runs collapsed), pairs of
-consecutive shapes, and lower-cased words. Fit, on a sample of at most `sample` labelled rows (those of
+consecutive shapes, lower-cased words, and repetition (a word equal to the one 1, 2 or 3 places before). Fit, on a sample of at most `sample` labelled rows (those of
 least hash): the `terms` most frequent terms of the sample, their inverse document frequencies, and
 the leading eigenvectors of the weighted term matrix; the sample's rows, projected to `rank`
 dimensions, are the labelled vectors. Both are broadcast; their size is bounded by these parameters
@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,9 @@ from pyspark.sql import types as T
 from lumenstack.llm.text import word_chunks
 
 SAMPLE, TERMS, RANK, NEIGHBOURS, POWER = 6000, 2000, 48, 25, 8
+#: A small sample has few rows of a kind; it votes with a fortieth of its rows, but not fewer than this.
+LEAST_NEIGHBOURS = 5
+LAGS = (1, 2, 3)
 SHAPE = bytes(b if b in b" \t\n\x0b\x0c\r" else 65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 57 if 48 <= b <= 57 else b for b in range(256))
 
 
@@ -41,14 +45,20 @@ def shapes(data: bytes) -> list[bytes]:
     return codes[np.append(True, codes[1:] != codes[:-1])].tobytes().split()
 
 
+def repeats(words: list[bytes]) -> list[int]:
+    """How many words equal the one LAGS places before."""
+    return [sum(map(eq, words, words[lag:])) for lag in LAGS]
+
+
 def term_counts(text: str | None) -> Counter:
-    """Counts of all terms: b's'+shape, b'p'+pair of shapes, b'w'+word."""
+    """Counts of all terms: b's'+shape, b'p'+pair of shapes, b'w'+word, b'r'+lag of a repetition."""
     counts: Counter = Counter()
     for words in word_chunks((text or "").encode("utf-8", "surrogatepass")):
         own = shapes(b" ".join(words))
         counts.update(b"s" + s for s in own)
         counts.update(b"p" + a + b" " + b for a, b in zip(own, own[1:]))
         counts.update(b"w" + w.lower() for w in words)
+        counts.update({b"r%d" % lag: n for lag, n in zip(LAGS, repeats(words)) if n})
     return counts
 
 
@@ -66,6 +76,7 @@ class Model:
         pairs = {tuple(t[1:].split(b" ")): i for t, i in number.items() if t[:1] == b"p"}
         known = {t[1:] for t in number if t[:1] == b"s"} | {s for p in pairs for s in p}
         self.shapes = {s: i + 1 for i, s in enumerate(sorted(known))}  # 0: any other
+        self.lags = [number.get(b"r%d" % lag, len(self.terms)) for lag in LAGS]
         self.alone = np.full(len(self.shapes) + 1, len(self.terms))
         self.pairs = np.full((len(self.shapes) + 1, len(self.shapes) + 1), len(self.terms))
         for s, i in self.shapes.items():
@@ -82,6 +93,7 @@ class Model:
             found = np.fromiter((self.words.get(w, n) for w in joined.lower().split()), np.int64)
             for ids in (self.alone[own], self.pairs[own[:-1], own[1:]], found):
                 out += np.bincount(ids, minlength=n + 1)
+            np.add.at(out, self.lags, repeats(words))
         return out[:n]
 
     def project(self, counts: np.ndarray) -> np.ndarray:
@@ -100,7 +112,7 @@ class Model:
 
     def vote(self, counts: np.ndarray) -> list[float]:
         near = self.project(counts) @ self.vectors.T
-        k = min(NEIGHBOURS, near.shape[1])
+        k = min(near.shape[1], max(LEAST_NEIGHBOURS, min(NEIGHBOURS, near.shape[1] // 40)))
         best = np.argpartition(near, -k, axis=1)[:, -k:]
         weight = np.clip(np.take_along_axis(near, best, axis=1), 0, None) ** POWER
         total = weight.sum(axis=1)
