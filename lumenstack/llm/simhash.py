@@ -187,12 +187,17 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter((h(b" ".join(r)) for r in runs), np.uint64)).view(np.int64)
 
 
-def similar_edges(docs: DataFrame, edges: DataFrame, shingle: int, similarity: float, text_col: str) -> DataFrame:
-    """The edges (of text hashes) whose texts' shingle sets have a Jaccard similarity of at least `similarity`."""
+def similar_edges(docs: DataFrame, nodes: DataFrame, edges: DataFrame, shingle: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """The edges (of text hashes) whose texts' shingle sets have a Jaccard similarity of at least `similarity`.
+
+    A text is read from the row of least id that holds it, so its copies are not moved.
+    """
     edges = materialize(edges.distinct(), "simhash-edges")
-    ends = edges.select(F.explode(F.array("u", "v")).alias("n")).distinct()
+    ends = edges.select(F.explode(F.array("u", "v")).alias("text_hash")).distinct()
+    ends = materialize(nodes.join(ends, "text_hash").select(F.col("least.id").alias("_id"), F.col("text_hash").alias("n")), "simhash-ends")
     text = F.col(text_col).cast("string")
-    texts = docs.select(F.xxhash64(text).alias("n"), text.alias("text")).join(ends, "n").groupBy("n").agg(F.first("text").alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    texts = rows.join(ends, rows["id"].eqNullSafe(F.col("_id")) & (F.col("h") == F.col("n"))).select("n", "text").dropDuplicates(["n"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,7 +214,7 @@ def keep_one_each(docs: DataFrame, shingle: int = CANDIDATES[0], radius: int = C
     """The rows of docs without near-duplicates: of each group, the row of least id stays (null ids last, then by text hash).
 
     With `verify` = (words, similarity), texts are grouped by those SimHash links whose shingle sets are
-    that similar; equal texts always are one group. A member of a bucket is compared with the near one
+    that similar; equal texts, and all texts without words, are one group. A member of a bucket is compared with the near one
     that it was reached from, under each mask; comparing all pairs would grow with the square of a group.
     Without, all SimHash links count.
     """
@@ -217,7 +222,7 @@ def keep_one_each(docs: DataFrame, shingle: int = CANDIDATES[0], radius: int = C
 
     def edges(nodes: DataFrame) -> DataFrame:
         found = link_fingerprints(nodes, radius, "text_hash")
-        return similar_edges(docs, found, *verify, text_col) if verify else found
+        return similar_edges(docs, nodes, found, *verify, id_col, text_col) if verify else found
 
     found = classes_of(rows, "text_hash", edges)
     least = materialize(found.select("least.id", "least.text_hash").distinct(), "simhash-kept").select(F.col("id").alias("_id"), F.col("text_hash").alias("_text_hash"))
