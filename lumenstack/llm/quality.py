@@ -130,6 +130,15 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(length > 0, length, 1)
 
 
+def leading_axes(x: np.ndarray, rank: int, rounds: int = 8) -> np.ndarray:
+    """The leading right singular vectors of x by subspace iteration from a fixed start."""
+    q = np.random.default_rng(0).standard_normal((x.shape[1], min(x.shape[1], rank + 16))).astype(x.dtype)
+    for _ in range(rounds):
+        q, _ = np.linalg.qr(x.T @ (x @ q))
+    _, _, v = np.linalg.svd(x @ q, full_matrices=False)
+    return (q @ v.T)[:, :rank].astype(np.float64)
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE, terms: int = TERMS, rank: int = RANK, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model | None:
     """The model learned from labelled rows; `learn` is a condition on the labels' id column."""
     own = labels.where(learn & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
@@ -171,8 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE,
         counts[i, np.frombuffer(r["terms"], np.int32)] = np.frombuffer(r["counts"], np.float64)
     idf = np.log((1 + len(found)) / (1 + (counts > 0).sum(axis=0))) + 1
     x = weighted(counts, idf.astype(np.float32))
-    _, axes = np.linalg.eigh((x.T @ x).astype(np.float64))
-    axes = axes[:, ::-1][:, :rank]
+    axes = leading_axes(x, rank)
     return Model(vocabulary, idf, axes, unit(x @ axes), np.array([r["label"] for r in found]))
 
 
