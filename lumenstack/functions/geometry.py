@@ -98,15 +98,15 @@ def in_plane_transform(source: Column, target: Column) -> Column:
 
 def coplanar_transform(source: Column, target: Column, plane: float = PLANE_DISTANCE, orientation: float = ORIENTATION) -> Column:
     """As in_plane_transform, but null unless both grids lie in one plane with the same axes."""
-    sr, sc = row_axis(source["orientation"]), column_axis(source["orientation"])
-    normal = plane_normal(source["orientation"])
-    same = (
-        (1 - dot(sr, row_axis(target["orientation"])) <= orientation)
-        & (1 - dot(sc, column_axis(target["orientation"])) <= orientation)
-        & (1 - dot(normal, plane_normal(target["orientation"])) <= orientation)
-        & (F.abs(dot(subtract(target["position"], source["position"]), normal)) <= plane)
-    )
-    return F.when(F.coalesce(same, F.lit(False)), in_plane_transform(source, target))
+    sides = {"s": source, "t": target}
+    parts = {f"{n}{k}": f(g["orientation"]) for n, g in sides.items() for k, f in (("r", row_axis), ("c", column_axis), ("n", plane_normal))}
+    axes = F.struct(*[c.alias(n) for n, c in parts.items()])
+
+    def same(x: Column) -> Column:
+        near = [1 - dot(x["s" + k], x["t" + k]) <= orientation for k in "rcn"]
+        return near[0] & near[1] & near[2] & (F.abs(dot(subtract(target["position"], source["position"]), x["sn"])) <= plane)
+
+    return F.when(F.coalesce(let(axes, same), F.lit(False)), in_plane_transform(source, target))
 
 
 def map_pixel(t: Column, row: Column, column: Column) -> Column:
@@ -116,12 +116,16 @@ def map_pixel(t: Column, row: Column, column: Column) -> Column:
 def grids_overlap(source: Column, target: Column, t: Column) -> Column:
     """Whether the target's corners, mapped, reach into the source grid grown by half a pixel."""
     last = [F.greatest(target[c] - 1, F.lit(0)).cast("double") for c in ("rows", "columns")]
-    corners = [map_pixel(t, r, c) for r in (F.lit(0.0), last[0]) for c in (F.lit(0.0), last[1])]
-    inside = F.lit(True)
-    for axis, size in ((0, "rows"), (1, "columns")):
-        at = [p[axis] for p in corners]
-        inside = inside & (F.greatest(*at) >= -0.5) & (F.least(*at) <= source[size] - 0.5)
-    return inside
+
+    def overlap(t: Column) -> Column:
+        corners = [map_pixel(t, r, c) for r in (F.lit(0.0), last[0]) for c in (F.lit(0.0), last[1])]
+        inside = F.lit(True)
+        for axis, size in ((0, "rows"), (1, "columns")):
+            at = [p[axis] for p in corners]
+            inside = inside & (F.greatest(*at) >= -0.5) & (F.least(*at) <= source[size] - 0.5)
+        return inside
+
+    return let(t, overlap)
 
 
 def pixel_aspect(spacing: Column, ratio: Column) -> Column:
