@@ -160,3 +160,21 @@ def test_header_and_round_trip(spark, tmp_path):
     assert [r.anon_dicom_path for r in back.orderBy("row").collect()] == ["/a", "/b"]
     got = rois.parse_rois(back, resolver(spark)).orderBy("file_index").collect()
     assert [r.coords for r in got] == [[[5, 6, 7, 8], [1, 1, 2, 2]], [[1, 2, 3, 4]]]
+
+
+def test_catalog_facade(spark, folder, tmp_path_factory):
+    from lumenstack.api import open_catalog
+
+    c = open_catalog(spark, folder, mask_key="k")
+    rows = c.files.orderBy("file_index").collect()
+    assert [r.file_index for r in rows] == [0, 1, 2, 3] and c.health() == {"selected": 4, "skipped": 3}
+    assert [r.patient_name for r in c.search("patient:doe").collect()] == ["Doe^Jane"]
+    assert {r.patient_name for r in c.masked().where("format = 'dicom'").collect()} == {"Patient 0001", "Patient 0002"}
+    page, state = c.page(0, 3)
+    assert page.count() == 3 and state["more"]
+    assert c.counts().where("study_key is null").count() == 4 and c.folders().where("kind = 'file'").count() == 4
+    name = next(r.path for r in rows if r.patient_name == "Doe^Jane").removeprefix("file:")
+    out = tmp_path_factory.mktemp("rois")
+    (out / "r.csv").write_text(f'anon_dicom_path,ROI_coords\n{name},"[[0,0,2,2]]"\n/none,x\n')
+    assert [r.coords for r in c.import_rois(str(out / "r.csv")).collect()] == [[[0, 0, 2, 2]]]
+    assert len({r.b3 for r in c.digests().collect()}) == 4
