@@ -145,9 +145,9 @@ class Batch:
         self.n = 0
 
     def add(self, key: bytes, text: str) -> None:
-        number, parts = self.number, []
+        number, parts = self.number.__getitem__, []
         for words in word_chunks(text.encode("utf-8", "surrogatepass")):
-            parts.append(np.fromiter((number[w] for w in words), np.int32, len(words)))
+            parts.append(np.fromiter(map(number, words), np.int32, len(words)))
         ids = np.concatenate(parts) if len(parts) != 1 else parts[0]
         if len(ids) < self.window:
             return
@@ -196,9 +196,9 @@ class Batch:
             same = numbers[ragged(starts[order[rest]], n)] == numbers[ragged(starts[order[lead]], n)]
             head[rest[~np.logical_and.reduceat(same, np.cumsum(n) - n)]] = True
         # Words are numbered anew in byte order, so that a block's vocabulary is sorted and compresses better.
-        words = np.array(list(self.number), object)
-        by_word = np.argsort(words)
-        words, keys = words[by_word], np.array(self.keys, "V16")
+        words = list(self.number)
+        by_word = np.array(sorted(range(len(words)), key=words.__getitem__))
+        words, keys = np.array(words, object)[by_word], np.array(self.keys, "V16")
         place = np.empty(len(words), np.int32)
         place[by_word] = np.arange(len(words), dtype=np.int32)
         numbers = place[numbers]
@@ -231,7 +231,7 @@ class Bucket:
         words = word_hash(block.vocabulary)[block.numbers]
         firsts = np.cumsum(block.lengths) - block.lengths
         self.hashes.append(run_hashes(words, self.window)[ragged(firsts, block.lengths - self.window + 1)])
-        to = np.fromiter((self.number[w] for w in block.vocabulary), np.int32, len(block.vocabulary))
+        to = np.fromiter(map(self.number.__getitem__, block.vocabulary), np.int32, len(block.vocabulary))
         block.numbers, block.vocabulary = to[block.numbers], []
         self.blocks.append(block)
 
