@@ -99,6 +99,27 @@ def write_json_lines(head: dict, records: DataFrame, path: str) -> None:
     lines.withColumn("place", F.col("place").cast("long")).withColumn("r", F.col("r").cast("long")).union(ends).orderBy("r", "place").select("value").coalesce(1).write.text(path)
 
 
+def file_refs(files: DataFrame, root: str) -> DataFrame:
+    """One `file` record for each key, by its first holder: relative path, identifiers, size and frames (CTX-34).
+
+    Paths are below `root`; a file elsewhere is named by its last component, never by an absolute path.
+    """
+    first = files.where(F.col("key").isNotNull()).groupBy("key").agg(F.min_by(F.struct(*[c for c in files.columns if c != "key"]), "file_index").alias("f"))
+    below = F.startswith(F.col("f.path"), F.lit(root.rstrip("/") + "/"))
+    path = F.when(below, F.substring(F.col("f.path"), len(root.rstrip("/")) + 2, 1 << 30)).otherwise(F.element_at(F.split("f.path", "/"), -1))
+    own = F.struct("key", path.alias("path"), *[F.col(f"f.{c}").alias(c) for c in ("sop_instance_uid", "study_instance_uid", "series_instance_uid", "size_bytes", "rows", "columns", "frame_count") if c in files.columns])
+    return first.select(F.lit("file").alias("kind"), F.col("f.file_index").alias("place"), F.to_variant_object(own).alias("record"))
+
+
+def import_status(records: DataFrame | None, problem: str | None = None) -> dict:
+    """State of an import: none, ready with counts by kind, or failed with its first problem (CTX-35)."""
+    if problem is not None:
+        return {"state": "failed", "problem": problem}
+    if records is None:
+        return {"state": "none"}
+    return {"state": "ready", "counts": {r["kind"]: r["n"] for r in records.groupBy("kind").agg(F.count("*").alias("n")).collect()}}
+
+
 @dataclass
 class Adapter:
     """A format: how sure it is of a head of bytes, and its reader and writer."""

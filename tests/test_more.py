@@ -158,3 +158,39 @@ def test_synthetic_catalogs(spark):
     first = navigator_rows(files).orderBy(*navigator_order()).first()
     assert first.patient_key == "patient:P0" and first.instance_number == "0"
     assert folder_tree(files).where("kind = 'file'").count() == 2000
+
+
+def test_png_and_thumbnails(spark):
+    from lumenstack.functions import images
+    from lumenstack.sources import raster
+
+    x = np.arange(4 * 6 * 3, dtype=np.uint8).reshape(4, 6, 3)
+    assert (images.decode_png(images.encode_png(x)) == x).all()
+    small = images.box_filter(x, 2, 3)
+    want = np.floor(x.reshape(2, 2, 3, 2, 3).mean(axis=(1, 3)) + 0.5)
+    assert (small == want).all() and images.box_filter(x, 9, 9).shape == x.shape
+    rows = [(1, x.ravel().tolist(), 4, 6, 3, 2, 3)]
+    frames = spark.createDataFrame(rows, "k int, pixels array<int>, rows int, columns int, channels int, height int, width int")
+    png = bytes(images.png_images(frames, ["k"], thumbnail=True).first().png)
+    assert raster.read_header("png", png)["columns"] == 3 and (images.decode_png(png) == small).all()
+
+
+def test_destinations_and_file_refs(spark):
+    from lumenstack.operators.links import destination
+
+    m = lambda *f: F.struct(F.array(*[F.lit(x) for x in f]).cast("array<int>").alias("frame_indices"))
+    row = spark.range(1).select(destination(m(7, 2), F.lit(3)).alias("a"), destination(m(), F.lit(3)).alias("b"), destination(m(1), F.lit(0)).alias("c")).first()
+    assert tuple(row) == (2, 0, None)
+    files = spark.createDataFrame([(1, "k", "/d/a/x", 5), (0, "k", "/d/y", 5), (2, None, "/d/z", 5), (3, "j", "/e/w", 6)], "file_index int, key string, path string, size_bytes int")
+    refs = documents.file_refs(files, "/d")
+    assert as_lists(refs)["file"] == [{"key": "k", "path": "y", "size_bytes": 5}, {"key": "j", "path": "w", "size_bytes": 6}]
+    assert documents.import_status(refs) == {"state": "ready", "counts": {"file": 2}} and documents.import_status(None, "row 3")["state"] == "failed"
+
+
+def test_command_line():
+    from lumenstack.__main__ import parser
+
+    args = parser().parse_args(["/data", "--filter", "Modality=CT", "--formats", "png,dicom", "--view", "counts"])
+    assert args.filter[0].column == "modality" and args.formats == ["dicom", "png"] and args.view == "counts"
+    with pytest.raises(SystemExit):
+        parser().parse_args(["/data", "--filter", "nope"])
