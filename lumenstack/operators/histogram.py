@@ -40,6 +40,34 @@ def order_statistics(counts: DataFrame, by: Sequence[str], value: str, indexes:
     return rows.groupBy(*by, "total").agg(*at.values())
 
 
+def narrowed_statistics(samples: DataFrame, by: Sequence[str], value: str, shares: dict[str, float], margin: float = 0.001) -> DataFrame:
+    """As order_statistics, for columns of many distinct values: (by, total, one column for each share).
+
+    The index of a share p is floor(p n) below one half and ceil(p n) above, clamped. A sketch bounds the
+    value from both sides (its rank error is a tenth of `margin`, by construction); rows below the lower
+    bound are only counted, and only the 2 x margin of the rows between the bounds are ranked. The result
+    is exact. No task sorts a key's rows.
+    """
+    names = list(shares)
+    asked = [x for n in names for x in (max(0.0, shares[n] - margin), min(1.0, shares[n] + margin))]
+    v = F.col(value)
+    bounds = samples.where(v.isNotNull()).groupBy(*by).agg(F.count("*").alias("total"), F.percentile_approx(v, asked, int(10 / margin)).alias("_b"), F.min(v).alias("_min"), F.max(v).alias("_max"))
+    few = F.col("total") * margin < 4  # too few rows for the margin to cover a rank
+    spans = F.array(*[F.struct(F.lit(n).alias("name"), F.when(few, F.col("_min")).otherwise(F.get("_b", F.lit(2 * i))).alias("low"), F.when(few, F.col("_max")).otherwise(F.get("_b", F.lit(2 * i + 1))).alias("high"), F.least((F.floor if shares[n] < 0.5 else F.ceil)(F.col("total") * shares[n]), F.col("total") - 1).alias("index")) for i, n in enumerate(names)])
+    bounds = bounds.select(*[F.col(c).alias(f"_k_{c}") for c in by], "total", spans.alias("_s"))
+    on = F.lit(True)
+    for c in by:
+        on = on & samples[c].eqNullSafe(F.col(f"_k_{c}"))
+    rows = samples.where(v.isNotNull()).select(*by, v.alias("_v")).join(bounds if by else F.broadcast(bounds), on)
+    # a row counts for each share whose upper bound it doesn't pass, under its value if it is inside the bounds
+    flat = rows.select(*by, "total", "_v", F.explode(F.filter("_s", lambda s: F.col("_v") <= s["high"])).alias("s"))
+    inside = F.when(F.col("_v") >= F.col("s.low"), F.col("_v"))
+    counts = flat.groupBy(*by, "total", F.col("s.name").alias("name"), F.col("s.index").alias("index"), inside.alias("_v")).agg(F.count("*").alias("n"))
+    w = W.partitionBy(*by, "name").orderBy(F.col("_v").asc_nulls_first())
+    upto = counts.withColumn("_upto", F.sum("n").over(w)).where(F.col("_v").isNotNull() & (F.col("_upto") > F.col("index")))
+    return upto.groupBy(*by, "total").agg(*[F.min(F.when(F.col("name") == n, F.col("_v"))).alias(n) for n in names])
+
+
 def percentile_window(counts: DataFrame, by: Sequence[str], value: str, function: Column | None = None) -> DataFrame:
     """(by, low, high, center, width) of the 1 % and 99 % order statistics: indexes floor(.01 n) and ceil(.99 n), not interpolated."""
     at = order_statistics(counts, by, value, {"low": F.floor(F.col("total") * 0.01), "high": F.ceil(F.col("total") * 0.99)})
@@ -47,6 +75,13 @@ def percentile_window(counts: DataFrame, by: Sequence[str], value: str, function
     return at.select(*by, "low", "high", w["center"].alias("center"), w["width"].alias("width"))
 
 
+def percentile_window_of_rows(samples: DataFrame, by: Sequence[str], value: str, function: Column | None = None) -> DataFrame:
+    """percentile_window for columns of many distinct values."""
+    at = narrowed_statistics(samples, by, value, {"low": 0.01, "high": 0.99})
+    w = span_window(F.col("low"), F.col("high"), function)
+    return at.select(*by, "low", "high", w["center"].alias("center"), w["width"].alias("width"))
+
+
 def full_dynamic_window(samples: DataFrame, by: Sequence[str], value: str, function: Column | None = None) -> DataFrame:
     """(by, low, high, center, width) of the least and greatest value, NaN ignored."""
     v = F.when(~F.isnan(value), F.col(value))

@@ -34,9 +34,22 @@ def value_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def percentile_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 1 % and 99 % order statistics by index (AGG-10, FN-9)."""
-    counts = histogram.distribution(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice")
-    return histogram.percentile_window(counts, ["l_returnflag"], "l_extendedprice")
+    """The 1 % and 99 % order statistics by index (AGG-10, FN-9), over a column of many distinct values."""
+    return histogram.percentile_window_of_rows(table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice"), ["l_returnflag"], "l_extendedprice")
+
+
+@query(
+    "percentile_window_stored",
+    f"""
+    WITH r AS (SELECT l_returnflag, l_quantity AS v, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) - 1 AS i, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem),
+         p AS (SELECT l_returnflag, max(v) FILTER (i = floor(n * 0.01)) AS low, max(v) FILTER (i = least(ceil(n * 0.99), n - 1)) AS high FROM r GROUP BY l_returnflag)
+    SELECT l_returnflag, low, high, {SPAN} FROM p
+    """,
+)
+def percentile_window_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over few distinct values, from their distribution (AGG-8 to AGG-10)."""
+    counts = histogram.distribution(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity")
+    return histogram.percentile_window(counts, ["l_returnflag"], "l_quantity")
 
 
 @query("full_dynamic_window", f"SELECT event_type, low, high, {SPAN} FROM (SELECT event_type, min(value) AS low, max(value) AS high FROM events GROUP BY event_type)")

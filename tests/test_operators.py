@@ -108,6 +108,8 @@ def test_percentile_index_rule(spark):
         import math
 
         assert (r.low, r.high) == (2.0 * min(math.floor(n * 0.01), n - 1), 2.0 * min(math.ceil(n * 0.99), n - 1))
+        o = histogram.percentile_window_of_rows(samples, ["k"], "v").first()
+        assert (o.low, o.high) == (r.low, r.high)
     nan = spark.createDataFrame([(1, 2.0), (1, float("nan")), (1, float("inf"))], "k int, v double")
     assert tuple(histogram.value_range(nan, ["k"], "v").first()) == (1, 2.0, 2.0)
 
@@ -224,3 +226,17 @@ def test_document_rules(spark):
     records = spark.createDataFrame([("a", "l"), ("b", "x")], "id string, layer string")
     got = {(r.code, r.id) for r in annotations.document_violations(files, layers, records, records.where("false")).collect()}
     assert got == {("duplicate_id", "k"), ("unknown_layer", "b")}
+
+
+def test_narrowed_statistics_equal_sorting(spark):
+    import math
+    import random
+
+    rnd = random.Random(2)
+    values = [(rnd.choice("ab"), round(rnd.gauss(0, 1), rnd.choice([1, 6]))) for _ in range(20_000)] + [(None, 5.0), ("a", None)]
+    df = spark.createDataFrame(values, "k string, v double")
+    got = {r.k: (r.total, r.low, r.mid, r.high) for r in histogram.narrowed_statistics(df, ["k"], "v", {"low": 0.01, "mid": 0.5, "high": 0.99}).collect()}
+    for k in ("a", "b", None):
+        own = sorted(v for q, v in values if q == k and v is not None)
+        n = len(own)
+        assert got[k] == (n, own[math.floor(n * 0.01)], own[min(math.ceil(n * 0.5), n - 1)], own[min(math.ceil(n * 0.99), n - 1)])
