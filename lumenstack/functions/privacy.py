@@ -6,11 +6,11 @@ Hashes are keyed SHA-256, so a key gives the same replacements on every executor
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenstack.functions.text import first_known
+from lumenstack.numbering import numbered
 
 MASKED, MAX_AGE, MAX_SHIFT, REGISTERED_ROOT = "[masked]", 89, 365, "1.2.840.10008."
 PATIENT_ID, PATIENT_NAME, BIRTH_DATE = (0x0010, 0x0020), (0x0010, 0x0010), (0x0010, 0x0030)
@@ -67,9 +67,9 @@ def masked_uid(key: str, uid: Column) -> Column:
 
 
 def pseudonyms(files: DataFrame, patient: Column, index: str) -> DataFrame:
-    """(patient, number): patients by first appearance, from 1. One row a patient is ranked, not one a file."""
+    """(patient, number): patients by first appearance, from 1. One row a patient is numbered, not one a file."""
     first = files.groupBy(patient.alias("patient")).agg(F.min(index).alias("first"))
-    return first.select("patient", F.row_number().over(W.orderBy("first")).cast("bigint").alias("number"))
+    return numbered(first, ["first"], "number").select("patient", F.col("number").cast("bigint").alias("number"))
 
 
 def masked_value(group: Column, element: Column, vr: Column, value: Column, listed: Column, key: str, number: Column, days: Column, reference: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenstack.functions.text import common_prefix, first_known, known_first, natural_key, numeric_first, path_parts, person_name
-from lumenstack.session import materialize
+from lumenstack.numbering import numbered
 
 RECENT = 256
 #: Reasons of discovery records, in order.
@@ -54,15 +54,8 @@ def latest(events: DataFrame, by: Sequence[str], revision: str) -> DataFrame:
 
 
 def with_revisions(events: DataFrame, order: Sequence[str], start: int = 0) -> DataFrame:
-    """events with `revision`, one more for each in order. Numbers are dealt in ranges: a sort by range, then offsets by range.
-
-    Range bounds are sampled, so the ranges are written once; reading them twice could cut them differently.
-    """
-    ranged = events.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    inside = materialize(ranged.withColumn("_i", F.row_number().over(W.partitionBy("_p").orderBy(*order))), "revisions")
-    sizes = inside.groupBy("_p").agg(F.max("_i").alias("_n"))
-    base = sizes.select("_p", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    return inside.join(base, "_p").withColumn("revision", F.col("_base") + F.col("_i") + start).drop("_p", "_i", "_base")
+    """events with `revision`, one more for each in order, from start + 1."""
+    return numbered(events, order, "revision", start + 1)
 
 
 def delta_page(entries: DataFrame, since: int | None, limit: int | None, revision: str = "revision") -> tuple[DataFrame, dict]:

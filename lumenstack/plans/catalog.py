@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenstack.functions.text import first_known, known_first, natural_key
+from lumenstack.numbering import numbered
 from lumenstack.operators import catalog
 from lumenstack.operators.filters import ScanFilter, scan_filter, search
 from lumenstack.operators.series import anchor_groups
@@ -253,8 +254,8 @@ def catalog_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with numbers in natural order: file9 before file10 (SORT-6)."""
     name = F.concat(F.lit("File"), F.col("c_custkey").cast("string"))
-    rows = table(spark, sf_dir, "customer").where("c_nationkey = 3").select("c_custkey", name.alias("name"))
-    return rows.select("c_custkey", F.row_number().over(W.orderBy(natural_key(F.col("name")), "c_custkey")).cast("bigint").alias("place"))
+    rows = table(spark, sf_dir, "customer").where("c_nationkey = 3").select("c_custkey", natural_key(name).alias("key"))
+    return numbered(rows, ["key", "c_custkey"], "place").select("c_custkey", F.col("place").cast("bigint").alias("place"))
 
 
 @query(
