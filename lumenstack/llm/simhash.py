@@ -29,20 +29,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumenstack.llm.components import connected_components
+from lumenstack.llm.substrings import ODD, mix
 from lumenstack.llm.text import word_chunks
 from lumenstack.session import materialize
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
-#: Shingle and radius by which candidates for verified near-duplicates are found; words and Jaccard similarity that they must have.
-CANDIDATES, VERIFY = (2, 5), (5, 0.8)
+#: Words of a shingle, radius and number of fingerprints by which candidates for verified near-duplicates are found; words and Jaccard similarity that they must have.
+CANDIDATES, VERIFY = (1, 4, 4), (5, 0.8)
 BUCKET = 4096
 
 
-def text_fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """64-bit SimHash over all shingles of the text, repeats included."""
+def shingle_hashes(text: str | None, shingle: int, seed: int) -> Iterator[np.ndarray]:
+    """Hashes of all shingles in order, a bounded number at a time; of the whole text if it has fewer words."""
     from xxhash import xxh64_intdigest as h
 
-    ones, total, last = np.zeros(64, np.int64), 0, []
+    total, last = 0, []
     for words in word_chunks((text or "").encode("utf-8", "surrogatepass").lower()):
         words = last + words
         if len(words) >= shingle:
@@ -50,16 +51,34 @@ def text_fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED)
             starts = list(accumulate((len(w) + 1 for w in words), initial=0))
             n = len(words) - shingle + 1
             hashes = np.fromiter((h(joined[a : b - 1], seed) for a, b in zip(starts, starts[shingle:])), np.uint64, n)
-            for at in range(0, n, 1 << 15):
-                bits = np.unpackbits(hashes[at : at + (1 << 15)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-                ones += bits.sum(axis=0, dtype=np.int32)
+            yield from (hashes[at : at + (1 << 15)] for at in range(0, n, 1 << 15))
             total += n
-        last = words[-(shingle - 1) :] if shingle > 1 else []
+        last = words[len(words) - shingle + 1 :] if len(words) >= shingle else words
     if not total and last:
-        ones, total = np.unpackbits(np.array([h(b" ".join(last), seed)], ">u8").view(np.uint8)).astype(np.int64), 1
+        yield np.array([h(b" ".join(last), seed)], np.uint64)
+
+
+def majority(blocks: Iterable[np.ndarray]) -> int:
+    """64 bits, each set if it is set in over half the hashes."""
+    ones, total = np.zeros(64, np.int64), 0
+    for hashes in blocks:
+        ones += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
+        total += len(hashes)
     return int.from_bytes(np.packbits(ones * 2 > total).tobytes(), "big")
 
 
+def text_fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """64-bit SimHash over all shingles of the text, repeats included."""
+    return majority(shingle_hashes(text, shingle, seed))
+
+
+def distinct_fingerprints(text: str | None, shingle: int, prints: int, seed: int = SEED) -> list[int]:
+    """`prints` independent SimHashes over the distinct shingles."""
+    found = list(shingle_hashes(text, shingle, seed))
+    own = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+    return [majority([own if i == 0 else mix(own + np.uint64(i) * ODD)]) for i in range(prints)]
+
+
 def covering_masks(radius: int, positions: list[int]) -> list[int]:
     """Masks over the given bit positions: any `radius` positions are all missing from at least one mask."""
     top = (1 << (radius + 1)) - 1
@@ -109,13 +128,17 @@ def link_bucket(fps: np.ndarray, mask: int, radius: int, bucket: int = BUCKET) -
                 yield from ((int(part[i]), int(part[j])) for i, j in link_bucket(fps[part], mask | sub, radius, bucket))
 
 
-def link_fingerprints(nodes: DataFrame, radius: int = RADIUS, node: str = "fp") -> DataFrame:
-    """Edges (u, v) of nodes (bigint) that connect all pairs whose fingerprints `fp` (bigint) are within the radius."""
+def link_fingerprints(nodes: DataFrame, radius: int = RADIUS, node: str = "fp", prints: int = 1) -> DataFrame:
+    """Edges (u, v) of nodes (bigint) that connect all pairs whose fingerprints are within the radius.
+
+    With a `node` of their own, `fp` is an array of `prints` fingerprints, and a pair is linked if one is near.
+    """
     masks = covering_masks(radius, spread_positions())
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for t, m in enumerate(masks)])
+    each = [F.col("fp")] if node == "fp" else [F.col("fp")[i] for i in range(prints)]
+    keys = F.array(*[F.struct(F.lit(i * len(masks) + t).alias("t"), fp.bitwiseAND(F.lit(signed(m))).alias("key"), fp.alias("fp")) for i, fp in enumerate(each) for t, m in enumerate(masks)])
     own = [] if node == "fp" else [node]
-    rows = nodes.select("fp", *own, F.explode(keys).alias("k")).select("k.t", "k.key", "fp", *own)
+    rows = nodes.select(*own, F.explode(keys).alias("k")).select("k.t", "k.key", "k.fp", *own)
     rows = rows.repartition("t", "key").sortWithinPartitions("t", "key", "fp", *own)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +148,7 @@ def link_fingerprints(nodes: DataFrame, radius: int = RADIUS, node: str = "fp")
             new = (np.diff(t) != 0) | (np.diff(key) != 0)
             cuts = np.concatenate([[0], np.flatnonzero(new) + 1, [len(fp)]])
             more = np.flatnonzero(np.diff(cuts) > 1)
-            found = [(a + i, a + j) for a, b in zip(cuts[more].tolist(), cuts[more + 1].tolist()) for i, j in link_bucket(fp[a:b].view(np.uint64), masks[t[a]], radius)]
+            found = [(a + i, a + j) for a, b in zip(cuts[more].tolist(), cuts[more + 1].tolist()) for i, j in link_bucket(fp[a:b].view(np.uint64), masks[t[a] % len(masks)], radius)]
             pairs = name[np.array(found, np.int64).reshape(-1, 2)]
             return pa.RecordBatch.from_arrays([pa.array(pairs.max(axis=1)), pa.array(pairs.min(axis=1))], names=["u", "v"])
 
@@ -147,16 +170,22 @@ def link_fingerprints(nodes: DataFrame, radius: int = RADIUS, node: str = "fp")
     return rows.mapInArrow(run, "u bigint, v bigint")
 
 
-def fingerprint_rows(docs: DataFrame, shingle: int, seed: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, text_hash, fp) of every row, written once."""
+def fingerprint_rows(docs: DataFrame, shingle: int, seed: int, id_col: str, text_col: str, prints: int = 0) -> DataFrame:
+    """(id, text_hash, fp) of every row, written once; with `prints`, fp is an array of fingerprints over distinct shingles."""
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    schema = T.StructType([rows.schema["id"], T.StructField("text_hash", T.LongType()), T.StructField("fp", T.LongType())])
+    kind = T.ArrayType(T.LongType()) if prints else T.LongType()
+    schema = T.StructType([rows.schema["id"], T.StructField("text_hash", T.LongType()), T.StructField("fp", kind)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((text_fingerprint(t.as_py(), shingle, seed) for t in batch.column(2)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=schema.names)
+            texts = (t.as_py() for t in batch.column(2))
+            if prints:
+                fps = np.array([distinct_fingerprints(t, shingle, prints, seed) for t in texts], np.uint64).reshape(-1, prints)
+                own = pa.array(list(fps.view(np.int64)), pa.list_(pa.int64()))
+            else:
+                own = pa.array(np.fromiter((text_fingerprint(t, shingle, seed) for t in texts), np.uint64, batch.num_rows).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), own], names=schema.names)
 
     return materialize(rows.mapInArrow(run, schema), "simhash-rows")
 
@@ -210,7 +239,7 @@ def similar_edges(docs: DataFrame, nodes: DataFrame, edges: DataFrame, shingle:
     return both.where(common >= F.lit(similarity) * (F.size("a") + F.size("b") - common)).select("u", "v")
 
 
-def keep_one_each(docs: DataFrame, shingle: int = CANDIDATES[0], radius: int = CANDIDATES[1], verify: tuple[int, float] | None = VERIFY, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one_each(docs: DataFrame, shingle: int = CANDIDATES[0], radius: int = CANDIDATES[1], prints: int = CANDIDATES[2], verify: tuple[int, float] | None = VERIFY, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without near-duplicates: of each group, the row of least id stays (null ids last, then by text hash).
 
     With `verify` = (words, similarity), texts are grouped by those SimHash links whose shingle sets are
@@ -218,10 +247,10 @@ def keep_one_each(docs: DataFrame, shingle: int = CANDIDATES[0], radius: int = C
     that it was reached from, under each mask; comparing all pairs would grow with the square of a group.
     Without, all SimHash links count.
     """
-    rows = fingerprint_rows(docs, shingle, seed, id_col, text_col)
+    rows = fingerprint_rows(docs, shingle, seed, id_col, text_col, prints)
 
     def edges(nodes: DataFrame) -> DataFrame:
-        found = link_fingerprints(nodes, radius, "text_hash")
+        found = link_fingerprints(nodes, radius, "text_hash", prints)
         return similar_edges(docs, nodes, found, *verify, id_col, text_col) if verify else found
 
     found = classes_of(rows, "text_hash", edges)
