@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -21,7 +22,8 @@ class Catalog:
     files: DataFrame
     discovery: DataFrame
     mask_key: str | None = None
-    boxes: dict[str, DataFrame] = field(default_factory=dict)
+    roots: list[str] = field(default_factory=list)
+    recursive: bool = True
 
     @property
     def spark(self) -> SparkSession:
@@ -65,9 +67,9 @@ class Catalog:
         return privacy.masked_summary(self.files.withColumns(extra) if extra else self.files, self.mask_key)
 
     def digests(self) -> DataFrame:
-        """Content digests; reads whole files."""
-        paths = [r["path"] for r in self.files.select("path").collect()]
-        return samples.file_digests(scan.read_binary(self.spark, paths))
+        """Content digests; reads whole files where they are, and joins digests, not contents, to the catalog."""
+        found = samples.file_digests(scan.read_binary(self.spark, self.roots, self.recursive))
+        return found.join(self.files.select("path"), "path", "left_semi")
 
     def import_rois(self, path: str, working_directory: str = "/") -> DataFrame:
         """Region lists of a CSV for the loaded files; refused as a whole on the first broken row."""
@@ -79,6 +81,7 @@ class Catalog:
 
 def open_catalog(spark: SparkSession, paths: str | Sequence[str], filters: Sequence[str] = (), formats: Sequence[str] = FORMATS, recursive: bool = True, mask_key: str | None = None) -> Catalog:
     """Scan paths into a catalog; files are numbered by path."""
-    found, records = scan.discover(spark, [paths] if isinstance(paths, str) else list(paths), filters, formats, recursive)
+    roots = [paths] if isinstance(paths, str) else list(paths)
+    found, records = scan.discover(spark, roots, filters, formats, recursive)
     numbered = catalog.with_revisions(found, ["path"], -1).withColumnRenamed("revision", "file_index").withColumn("file_index", F.col("file_index").cast("int"))
-    return Catalog(numbered, records, mask_key)
+    return Catalog(numbered, records, mask_key, [p for p in roots if os.path.exists(p)], recursive)
