@@ -136,10 +136,12 @@ def link_fingerprints(nodes: DataFrame, radius: int = RADIUS, node: str = "fp",
     masks = covering_masks(radius, spread_positions())
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     each = [F.col("fp")] if node == "fp" else [F.col("fp")[i] for i in range(prints)]
-    keys = F.array(*[F.struct(F.lit(i * len(masks) + t).alias("t"), fp.bitwiseAND(F.lit(signed(m))).alias("key"), fp.alias("fp")) for i, fp in enumerate(each) for t, m in enumerate(masks)])
+    keys = F.array(*[F.struct(F.lit(i * len(masks) + t).alias("t"), fp.alias("fp")) for i, fp in enumerate(each) for t in range(len(masks))])
     own = [] if node == "fp" else [node]
-    rows = nodes.select(*own, F.explode(keys).alias("k")).select("k.t", "k.key", "k.fp", *own)
-    rows = rows.repartition("t", "key").sortWithinPartitions("t", "key", "fp", *own)
+    rows = nodes.select(*own, F.explode(keys).alias("k")).select("k.t", "k.fp", *own)
+    # the masked bits are computed on both sides of the shuffle and not carried through it
+    key = F.col("fp").bitwiseAND(F.element_at(F.array(*[F.lit(signed(m)) for m in masks]), F.col("t") % len(masks) + 1))
+    rows = rows.repartition("t", key).sortWithinPartitions("t", key, "fp", *own).select("t", key.alias("key"), "fp", *own)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: tuple[np.ndarray, ...] | None = None
