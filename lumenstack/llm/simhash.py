@@ -9,8 +9,8 @@ most `radius` differing positions leave some v orthogonal to all their vectors:
 Only distinct fingerprints are linked, so exact copies cost nothing. They are shuffled once, by
 (mask, masked bits), and sorted; a task streams over the buckets and links inside each one exactly,
 emitting one edge from each fingerprint to a near one found before it, never all pairs. The 27 free
-bits of a bucket allow for 2^27 fingerprints in theory; one with more than BUCKET is split by the
-same construction over its free bits, after which at most 2^12 are left in a part.
+bits of a bucket allow for 2^27 fingerprints in theory; one with more than BUCKET distinct ones is split
+by the same construction over its free bits, until they are too few to split: 12 bits, or 15 at radius 4.
 
 Null and wordless texts have fingerprint zero and link like others. Null ids are kept; a component
 of null ids only has a null id. Repeated rows are kept. An empty table gives an empty result.
@@ -115,11 +115,20 @@ def link_bucket(fps: np.ndarray, mask: int, radius: int, bucket: int = BUCKET) -
         if int(fps[0] ^ fps[1]).bit_count() <= radius:
             yield 1, 0
         return
+    own, first, place = np.unique(fps, return_index=True, return_inverse=True)
+    if len(own) < len(fps):
+        # equal fingerprints are linked to the first of them, which stands for all
+        copies = np.flatnonzero(first[place] != np.arange(len(fps)))
+        yield from zip(copies.tolist(), first[place][copies].tolist())
+        yield from ((int(first[i]), int(first[j])) for i, j in link_bucket(own, mask, radius, bucket))
+        return
     free = [p for p in spread_positions() if not mask >> p & 1]
-    if len(fps) <= bucket or len(free) <= 12:
+    subs = covering_masks(radius, free)
+    # an empty sub-mask splits nothing off: there are fewer free positions than vectors, at most 2^len(free) fingerprints
+    if len(fps) <= bucket or len(free) <= 12 or not all(subs):
         yield from _parts(fps, radius)
         return
-    for sub in covering_masks(radius, free):
+    for sub in subs:
         keys = fps & np.uint64(sub)
         order = np.argsort(keys, kind="stable")
         cuts = np.flatnonzero(np.diff(keys[order])) + 1

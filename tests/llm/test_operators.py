@@ -113,6 +113,27 @@ def test_large_buckets_lose_no_link():
     assert [find(i) for i in range(len(fps))] == components(fps, 2)
 
 
+def test_link_bucket_ends_on_many_near_fingerprints():
+    import numpy as np
+
+    from lumenstack.llm.simhash import link_bucket, spread_positions
+
+    free = spread_positions()[:14]
+    mask = (1 << 64) - 1 - sum(1 << p for p in free)
+    fps = np.array([sum(1 << p for k, p in enumerate(free) if n >> k & 1) for n in range(1 << 13)] * 2, np.uint64)
+    root = list(range(len(fps)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for i, j in link_bucket(fps, mask, 4):
+        assert int(fps[i] ^ fps[j]).bit_count() <= 4
+        root[find(i)] = find(j)
+    assert len({find(i) for i in range(len(fps))}) == 1
+
+
 def test_components_of_chains(spark):
     from lumenstack.llm.components import connected_components
 
