@@ -228,9 +228,9 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
 
 
 def similar_edges(docs: DataFrame, nodes: DataFrame, edges: DataFrame, shingle: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """The edges (of text hashes) whose texts' shingle sets have a Jaccard similarity of at least `similarity`.
+    """Edges that connect all pairs of the given edges' ends (text hashes) whose shingle sets have a Jaccard similarity of at least `similarity`.
 
-    A text is read from the row of least id that holds it, so its copies are not moved.
+    The given edges are checked first, then what they leave apart. A text is read from the row of least id that holds it, so its copies are not moved.
     """
     edges = materialize(edges.distinct(), "simhash-edges")
     ends = edges.select(F.explode(F.array("u", "v")).alias("text_hash")).distinct()
@@ -247,15 +247,84 @@ def similar_edges(docs: DataFrame, nodes: DataFrame, edges: DataFrame, shingle:
     sets = materialize(texts.mapInArrow(run, "n bigint, own array<bigint>"), "simhash-sets")
     both = edges.join(sets.select(F.col("n").alias("u"), F.col("own").alias("a")), "u").join(sets.select(F.col("n").alias("v"), F.col("own").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
-    return both.where(common >= F.lit(similarity) * (F.size("a") + F.size("b") - common)).select("u", "v")
+    found = connected_components(both.where(common >= F.lit(similarity) * (F.size("a") + F.size("b") - common)).select("u", "v"))
+    return found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(further_links(found, sets, similarity))
+
+
+def link_similar(sets: list[np.ndarray], group: list[int], similarity: float) -> Iterator[tuple[int, int]]:
+    """Edges (index, index) that connect all groups with a pair of similar sets; members of a group count as connected.
+
+    A member is compared with all those not yet reached, by the places of its own elements.
+    """
+    size = np.array([len(x) for x in sets], np.int64)
+    ends = np.concatenate([[0], np.cumsum(size)])
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    flat = flat[order]
+    ranks = np.cumsum(np.append(False, flat[1:] != flat[:-1])[: len(flat)], dtype=np.int32)
+    del flat
+    code = np.empty(len(order), np.int32)
+    code[order] = ranks
+    holder = np.repeat(np.arange(len(sets), dtype=np.int32), size)[order]
+    del order
+    often = np.bincount(ranks)
+    del ranks
+    starts = np.concatenate([[0], np.cumsum(often)])
+    members: dict[int, list[int]] = {}
+    for i, g in enumerate(group):
+        members.setdefault(g, []).append(i)
+    left, groups = np.ones(len(sets), bool), len(members)
+    for seed in range(len(sets)):
+        if not left[seed]:
+            continue
+        queue, groups = list(members[group[seed]]), groups - 1
+        left[queue] = False
+        while queue and groups:
+            at = queue.pop()
+            own = code[ends[at] : ends[at + 1]]
+            own = own[often[own] > 1]
+            held = np.concatenate([holder[starts[c] : starts[c + 1]] for c in own]) if len(own) else holder[:0]
+            common = np.bincount(held, minlength=len(sets))
+            common[at] = size[at]
+            for i in np.flatnonzero(left & (common >= similarity * (size[at] + size - common))).tolist():
+                if left[i]:
+                    yield at, i
+                    more = members[group[i]]
+                    left[more], groups = False, groups - 1
+                    queue += more
+
+
+def further_links(found: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges that connect all groups (found: node, root) with a pair of similar sets.
+
+    Two similar sets share one of the first n - ceil(similarity x n) + 1 elements of each (n: its size), in
+    any fixed order. Only texts that share one of those with another group's text are compared, in one task
+    for all that such elements connect.
+    """
+    size = F.size("own")
+    first = F.when(size == 0, F.array(F.lit(0).cast("bigint"))).otherwise(F.slice("own", F.lit(1), size - F.ceil(size * F.lit(similarity) - F.lit(1e-9)).cast("int") + 1))
+    grouped = sets.select("n", first.alias("first")).join(found, F.col("n") == F.col("node"), "left")
+    keys = grouped.select("n", F.coalesce("root", "n").alias("grp"), F.explode("first").alias("s"))
+    shared = keys.groupBy("s").agg(F.min("grp").alias("least"), F.max("grp").alias("most")).where("least < most").select("s", "least")
+    met = materialize(keys.join(shared, "s").select("n", "grp", "least").distinct(), "simhash-met")
+    parts = connected_components(met.select(F.col("grp").alias("u"), F.col("least").alias("v")))
+    rows = met.select("n", "grp").distinct().join(parts, F.col("grp") == F.col("node"), "left")
+    rows = rows.select("n", "grp", F.coalesce("root", "grp").alias("part")).join(sets, "n")
+
+    def run(table: pa.Table) -> pa.Table:
+        names = table.column("n").to_numpy()
+        own = [np.asarray(x.values) for x in table.column("own")]
+        found = np.array(list(link_similar(own, table.column("grp").to_pylist(), similarity)), np.int64).reshape(-1, 2)
+        return pa.table({"u": names[found[:, 0]], "v": names[found[:, 1]]})
+
+    return rows.groupBy("part").applyInArrow(run, "u bigint, v bigint")
 
 
 def keep_one_each(docs: DataFrame, shingle: int = CANDIDATES[0], radius: int = CANDIDATES[1], prints: int = CANDIDATES[2], verify: tuple[int, float] | None = VERIFY, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs without near-duplicates: of each group, the row of least id stays (null ids last, then by text hash).
 
-    With `verify` = (words, similarity), texts are grouped by those SimHash links whose shingle sets are
-    that similar; equal texts, and all texts without words, are one group. A member of a bucket is compared with the near one
-    that it was reached from, under each mask; comparing all pairs would grow with the square of a group.
+    With `verify` = (words, similarity), the texts that have SimHash links are grouped by all pairs of them
+    whose shingle sets are that similar; equal texts, and all texts without words, are one group.
     Without, all SimHash links count.
     """
     rows = fingerprint_rows(docs, shingle, seed, id_col, text_col, prints)

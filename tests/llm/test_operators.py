@@ -159,6 +159,55 @@ def test_keep_one_each(spark):
     assert sorted(r.doc_id for r in keep_one_each(again).collect()) == [0, 3, 4, 6]
 
 
+def test_keep_one_of_a_star(spark):
+    """Variants are similar to a common original, less to each other."""
+    from lumenstack.llm.simhash import keep_one_each, shingle_set
+
+    rnd = random.Random(7)
+    base = [rnd.choice(LOREM) + str(rnd.randrange(99)) for _ in range(250)]
+    texts = []
+    for k in range(50):
+        own = list(base)
+        for n, at in enumerate(rnd.sample(range(10, 240, 6), 5)):
+            own[at] = f"variant{k}x{n}"
+        texts.append(" ".join(own))
+    texts[31:31] = [" ".join(base)]
+    shuffled = list(base)
+    rnd.shuffle(shuffled)  # same words, no shingle in common
+    texts.append(" ".join(shuffled))
+    sets = [set(shingle_set(t, 5).tolist()) for t in texts]
+    like = lambda a, b: len(a & b) / len(a | b)
+    assert all(like(s, sets[31]) >= 0.8 for s in sets[:51]) and max(like(sets[0], s) for s in sets[32:]) < 0.8
+    assert sorted(r.doc_id for r in keep_one_each(make_docs(spark, texts)).collect()) == [0, 51]
+
+
+def test_similar_sets_are_linked_as_by_all_pairs():
+    import numpy as np
+
+    from lumenstack.llm.simhash import link_similar
+
+    rnd = random.Random(3)
+    sets = [np.array(sorted(rnd.sample(range(14), rnd.randrange(11))), np.int64) for _ in range(60)]
+    group = [i // 2 if i < 10 else i for i in range(60)]
+    root = list(range(60))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    def parts(edges):
+        root[:] = range(60)
+        for i, j in [*edges, *((2 * k, 2 * k + 1) for k in range(5))]:
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+        return [find(i) for i in range(60)]
+
+    common = lambda a, b: len(np.intersect1d(a, b))
+    pairs = [(i, j) for i in range(60) for j in range(i) if common(sets[i], sets[j]) >= 0.8 * (len(sets[i]) + len(sets[j]) - common(sets[i], sets[j]))]
+    assert parts(link_similar(sets, group, 0.8)) == parts(pairs)
+
+
 # 2 substring dedup
 
 
