@@ -28,7 +28,7 @@ WORD = rb"[a-z0-9\x80-\xff]+"
 GAP = rb"[^a-z0-9\x80-\xff]+"
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Licenses: label, keyword that every text naming it holds, names (alternatives of a regex), canonical addresses.
+#: Licenses: label, keyword (a name that needn't hold it has a word of its own), names (alternatives of a regex), canonical addresses.
 FAMILIES: list[tuple[str, str, list[str], list[str]]] = [
     ("agpl-3.0", "affero", ["gnu affero general public license( version| v)? 3( 0)?", "affero general public license( version| v)? 3"], ["gnu org licenses agpl 3 0"]),
     ("agpl", "affero", ["gnu affero general public license", "affero gpl"], ["gnu org licenses agpl"]),
@@ -166,16 +166,24 @@ def phrase(pattern: str) -> re.Pattern[bytes]:
     return re.compile(rb"(?<![a-z0-9\x80-\xff])(?:" + raw + rb")(?![a-z0-9\x80-\xff])")
 
 
+def gate(pattern: str, keyword: str) -> bytes:
+    """The keyword if every match of the pattern holds it, or else the longest literal that every match holds."""
+    while (bare := re.sub(r"\([^()]*\)[?*+]?", " ", pattern)) != pattern:
+        pattern = bare
+    literals = re.sub(r"\[[^]]*\](\{[^}]*\}|[?*+])?|.\?", " ", pattern).split()
+    return (keyword if any(keyword in x for x in literals) else max(literals, key=len)).encode()
+
+
 def rules() -> list[Rule]:
     """All rules in order of priority: identifiers, addresses, named licenses, notices."""
     tags, links, names = [], [], []
     for label, keyword, alternatives, addresses in FAMILIES:
         tags.append(Rule(label, b"spdx", phrase("spdx license identifier " + label.replace("-", " ").replace(".", " ")), 0.95))
         links += [Rule(label, a.split()[0].encode(), phrase(a), 0.9) for a in addresses]
-        first = keyword.split()[0].encode()
-        names += [Rule(label, first, phrase("((distributed|released|available|licensed|published) under (the |a )?(terms of the )?)(" + n + ")"), 0.9) for n in alternatives]
-        names += [Rule(label, first, phrase(n), 0.75) for n in alternatives]
-    return tags + links + names + [Rule(label, k.split()[0].encode(), phrase(p), 0.5) for label, k, p in NOTICES]
+        first = keyword.split()[0]
+        names += [Rule(label, gate(n, first), phrase("((distributed|released|available|licensed|published) under (the |a )?(terms of the )?)(" + n + ")"), 0.9) for n in alternatives]
+        names += [Rule(label, gate(n, first), phrase(n), 0.75) for n in alternatives]
+    return tags + links + names + [Rule(label, gate(p, k.split()[0]), phrase(p), 0.5) for label, k, p in NOTICES]
 
 
 class Scanner:

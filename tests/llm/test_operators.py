@@ -649,3 +649,40 @@ def test_long_texts_stream(monkeypatch):
     monkeypatch.setattr(token_counts, "LONG_TEXT", 10)
     monkeypatch.setattr(token_counts, "CACHE_ENTRIES", 3)
     assert counter.count(text) == want
+
+
+def test_license_keywords_are_in_every_match():
+    """Examples of each rule by its choices; the keyword must be in all of them."""
+    import itertools
+    from re import _parser
+
+    from lumenstack.llm.licenses import Scanner, rules
+
+    def examples(parsed, most=60):
+        parts = []
+        for op, value in parsed:
+            op = str(op)
+            if op == "LITERAL":
+                parts.append([chr(value)])
+            elif op == "IN":
+                kind, first = value[0]
+                parts.append([" " if str(kind) == "NEGATE" else chr(first if str(kind) == "LITERAL" else first[0])])
+            elif op == "SUBPATTERN":
+                parts.append(examples(value[3]))
+            elif op == "BRANCH":
+                parts.append([e for b in value[1] for e in examples(b)])
+            elif op == "MAX_REPEAT":
+                low, _, inner = value
+                parts.append([e * low for e in examples(inner)] if low else ["", *examples(inner)])
+            else:
+                assert op == "ASSERT_NOT", op
+        return ["".join(x) for x in itertools.islice(itertools.product(*parts), most)]
+
+    for r in rules():
+        for e in examples(_parser.parse(r.pattern.pattern)):
+            assert r.keyword in e.encode("latin-1"), (r.label, r.keyword, e)
+    for text, label in [
+        ("the internet systems consortium license", "isc"), ("this is free and unencumbered software", "unlicense"), ("do what the fun you want to public license", "wtfpl"),
+        ("psf license agreement", "python-2.0"), ("open rail-m", "openrail"), ("simplified license", "bsd-2-clause"), ("for personal use only", "non-commercial"),
+    ]:
+        assert label in {d[2] for d in Scanner().detections(text.encode())[1]}, text
