@@ -94,8 +94,9 @@ class Identifier:
 
     def __init__(self, samples: dict[str, str]):
         self.letter = letters()
-        self.languages = sorted(samples)
         points = {k: code_points(s) for k, s in samples.items()}
+        points = {k: p for k, p in points.items() if self.letter[p].any()}  # a sample without letters tells nothing
+        self.languages = sorted(points)
         freq: Counter = Counter()
         for p in points.values():
             freq.update(p[self.letter[p]].tolist())

@@ -686,3 +686,10 @@ def test_license_keywords_are_in_every_match():
         ("psf license agreement", "python-2.0"), ("open rail-m", "openrail"), ("simplified license", "bsd-2-clause"), ("for personal use only", "non-commercial"),
     ]:
         assert label in {d[2] for d in Scanner().detections(text.encode())[1]}, text
+
+
+def test_language_without_letters_leaves_others_whole():
+    from lumenstack.llm.language import Identifier
+
+    ident = Identifier({"aa": "", "bb": "12 !", "de": "der die das und nicht " * 20, "en": "the and of with from " * 20})
+    assert [x[0] for x in ident.identify(["und nicht die", "from the and", "5"])] == ["de", "en", "und"]
