@@ -12,13 +12,17 @@ emitting one edge from each fingerprint to a near one found before it, never all
 bits of a bucket allow for 2^27 fingerprints in theory; one with more than BUCKET distinct ones is split
 by the same construction over its free bits, until they are too few to split: 12 bits, or 15 at radius 4.
 
+Near-duplicates verified by their shingles (`keep_one_each`) are texts whose SimHash links put them in
+one family and whose shingle sets are similar. A family is compared in blocks of about BLOCK_WORDS
+words, however many texts it has, and only edges that connect are emitted.
+
 Null and wordless texts have fingerprint zero and link like others. Null ids are kept; a component
 of null ids only has a null id. Repeated rows are kept. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import accumulate
 
 import numpy as np
@@ -35,8 +39,10 @@ from lumenstack.session import materialize
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: Words of a shingle, radius and number of fingerprints by which candidates for verified near-duplicates are found; words and Jaccard similarity that they must have.
-CANDIDATES, VERIFY = (1, 4, 4), (5, 0.8)
+CANDIDATES, VERIFY = (1, 4, 6), (5, 0.8)
 BUCKET = 4096
+#: Words of a family that one task compares, and numbers a batch on the way there.
+BLOCK_WORDS, BATCH_NUMBERS = 1 << 19, 1 << 20
 
 
 def shingle_hashes(text: str | None, shingle: int, seed: int) -> Iterator[np.ndarray]:
@@ -72,11 +78,12 @@ def text_fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED)
     return majority(shingle_hashes(text, shingle, seed))
 
 
-def distinct_fingerprints(text: str | None, shingle: int, prints: int, seed: int = SEED) -> list[int]:
-    """`prints` independent SimHashes over the distinct shingles."""
+def distinct_fingerprints(text: str | None, shingle: int, prints: int, seed: int = SEED) -> tuple[int, list[int]]:
+    """The number of shingles, and `prints` independent SimHashes over the distinct ones."""
     found = list(shingle_hashes(text, shingle, seed))
     own = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-    return [majority([own if i == 0 else mix(own + np.uint64(i) * ODD)]) for i in range(prints)]
+    steps = (np.uint64(i * int(ODD) % (1 << 64)) for i in range(1, prints))
+    return sum(map(len, found)), [majority([own]), *(majority([mix(own + s)]) for s in steps)]
 
 
 def covering_masks(radius: int, positions: list[int]) -> list[int]:
@@ -137,34 +144,30 @@ def link_bucket(fps: np.ndarray, mask: int, radius: int, bucket: int = BUCKET) -
                 yield from ((int(part[i]), int(part[j])) for i, j in link_bucket(fps[part], mask | sub, radius, bucket))
 
 
-def link_fingerprints(nodes: DataFrame, radius: int = RADIUS, node: str = "fp", prints: int = 1) -> DataFrame:
-    """Edges (u, v) of nodes (bigint) that connect all pairs whose fingerprints are within the radius.
-
-    With a `node` of their own, `fp` is an array of `prints` fingerprints, and a pair is linked if one is near.
-    """
+def link_fingerprints(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Edges (i, u, v) that connect all fingerprints of one kind within the radius. nodes: distinct (i int, fp bigint); i is the kind."""
     masks = covering_masks(radius, spread_positions())
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    each = [F.col("fp")] if node == "fp" else [F.col("fp")[i] for i in range(prints)]
-    keys = F.array(*[F.struct(F.lit(i * len(masks) + t).alias("t"), fp.alias("fp")) for i, fp in enumerate(each) for t in range(len(masks))])
-    own = [] if node == "fp" else [node]
-    rows = nodes.select(*own, F.explode(keys).alias("k")).select("k.t", "k.fp", *own)
+    each = F.array(*[F.col("i") * len(masks) + t for t in range(len(masks))])
     # the masked bits are computed on both sides of the shuffle and not carried through it
     key = F.col("fp").bitwiseAND(F.element_at(F.array(*[F.lit(signed(m)) for m in masks]), F.col("t") % len(masks) + 1))
-    rows = rows.repartition("t", key).sortWithinPartitions("t", key, "fp", *own).select("t", key.alias("key"), "fp", *own)
+    rows = nodes.select(F.explode(each).alias("t"), "fp")
+    rows = rows.repartition("t", key).sortWithinPartitions("t", key, "fp").select("t", key.alias("key"), "fp")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: tuple[np.ndarray, ...] | None = None
+        rest: list[np.ndarray] | None = None
 
-        def link(t: np.ndarray, key: np.ndarray, fp: np.ndarray, name: np.ndarray) -> pa.RecordBatch:
+        def link(t: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
             new = (np.diff(t) != 0) | (np.diff(key) != 0)
             cuts = np.concatenate([[0], np.flatnonzero(new) + 1, [len(fp)]])
             more = np.flatnonzero(np.diff(cuts) > 1)
-            found = [(a + i, a + j) for a, b in zip(cuts[more].tolist(), cuts[more + 1].tolist()) for i, j in link_bucket(fp[a:b].view(np.uint64), masks[t[a] % len(masks)], radius)]
-            pairs = name[np.array(found, np.int64).reshape(-1, 2)]
-            return pa.RecordBatch.from_arrays([pa.array(pairs.max(axis=1)), pa.array(pairs.min(axis=1))], names=["u", "v"])
+            found = [(a, a + i, a + j) for a, b in zip(cuts[more].tolist(), cuts[more + 1].tolist()) for i, j in link_bucket(fp[a:b].view(np.uint64), masks[t[a] % len(masks)], radius)]
+            at = np.array(found, np.int64).reshape(-1, 3)
+            pairs = fp[at[:, 1:]]
+            return pa.RecordBatch.from_arrays([pa.array((t[at[:, 0]] // len(masks)).astype(np.int32)), pa.array(pairs.max(axis=1)), pa.array(pairs.min(axis=1))], names=["i", "u", "v"])
 
         for batch in batches:
-            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 2 if node == "fp" else 3)]
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
             if not batch.num_rows:
                 continue
             if rest is not None:
@@ -174,169 +177,206 @@ def link_fingerprints(nodes: DataFrame, radius: int = RADIUS, node: str = "fp",
             at = len(same) - int(same.sum())
             if at:
                 yield link(*(c[:at] for c in columns))
-            rest = tuple(c[at:] for c in columns)
+            rest = [c[at:] for c in columns]
         if rest is not None:
             yield link(*rest)
 
-    return rows.mapInArrow(run, "u bigint, v bigint")
+    return rows.mapInArrow(run, "i int, u bigint, v bigint")
 
 
-def fingerprint_rows(docs: DataFrame, shingle: int, seed: int, id_col: str, text_col: str, prints: int = 0) -> DataFrame:
-    """(id, text_hash, fp) of every row, written once; with `prints`, fp is an array of fingerprints over distinct shingles."""
-    text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    kind = T.ArrayType(T.LongType()) if prints else T.LongType()
-    schema = T.StructType([rows.schema["id"], T.StructField("text_hash", T.LongType()), T.StructField("fp", kind)])
+def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fingerprint, component_id) of every row; component_id is the least id reachable by links."""
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    schema = T.StructType([texts.schema["id"], T.StructField("fp", T.LongType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = (t.as_py() for t in batch.column(2))
-            if prints:
-                fps = np.array([distinct_fingerprints(t, shingle, prints, seed) for t in texts], np.uint64).reshape(-1, prints)
-                own = pa.array(list(fps.view(np.int64)), pa.list_(pa.int64()))
-            else:
-                own = pa.array(np.fromiter((text_fingerprint(t, shingle, seed) for t in texts), np.uint64, batch.num_rows).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), own], names=schema.names)
-
-    return materialize(rows.mapInArrow(run, schema), "simhash-rows")
-
-
-def classes_of(rows: DataFrame, node: str, edges) -> DataFrame:
-    """(node, least): for each node of the rows, the least (id is null, id, text_hash) of its component."""
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash"))
-    nodes = materialize(rows.groupBy(node, *(["fp"] if node != "fp" else [])).agg(first.alias("least")), "simhash-nodes")
-    found = connected_components(edges(nodes)).withColumnRenamed("node", "n")
-    roots = materialize(nodes.join(found, nodes[node] == found["n"], "left").select(node, "least", F.coalesce("root", node).alias("root")), "simhash-roots")
-    return roots.select(node, "root").join(roots.groupBy("root").agg(F.min("least").alias("least")), "root").select(node, "least")
-
-
-def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fingerprint, component_id) of every row; component_id is the least id reachable by links."""
-    rows = fingerprint_rows(docs, shingle, seed, id_col, text_col)
-    found = classes_of(rows.select("id", "text_hash", "fp"), "fp", lambda nodes: link_fingerprints(nodes, radius))
-    out = rows.join(found, "fp")
+            fps = np.fromiter((text_fingerprint(t.as_py(), shingle, seed) for t in batch.column(1)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=schema.names)
+
+    rows = materialize(texts.mapInArrow(run, schema), "simhash-rows")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id"))
+    nodes = materialize(rows.groupBy("fp").agg(first.alias("least")), "simhash-nodes")
+    found = connected_components(link_fingerprints(nodes.select(F.lit(0).alias("i"), "fp"), radius))
+    roots = materialize(nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+    least = roots.select("fp", "root").join(roots.groupBy("root").agg(F.min("least").alias("least")), "root")
+    out = rows.join(least, "fp")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least.id").alias("component_id"))
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """Hashes of the distinct shingles, ascending."""
-    from xxhash import xxh64_intdigest as h
-
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    runs = [words[i : i + shingle] for i in range(len(words) - shingle + 1)] if len(words) >= shingle else [words][: len(words)]
-    return np.unique(np.fromiter((h(b" ".join(r)) for r in runs), np.uint64)).view(np.int64)
-
-
-def similar_edges(docs: DataFrame, nodes: DataFrame, edges: DataFrame, shingle: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """Edges that connect all pairs of the given edges' ends (text hashes) whose shingle sets have a Jaccard similarity of at least `similarity`.
+    """Hashes of the distinct shingles, ascending; of the whole text if it has fewer words."""
+    found = list(shingle_hashes(text, shingle, 0))
+    return np.unique(np.concatenate(found)).view(np.int64) if found else np.zeros(0, np.int64)
 
-    The given edges are checked first, then what they leave apart. A text is read from the row of least id that holds it, so its copies are not moved.
-    """
-    edges = materialize(edges.distinct(), "simhash-edges")
-    ends = edges.select(F.explode(F.array("u", "v")).alias("text_hash")).distinct()
-    ends = materialize(nodes.join(ends, "text_hash").select(F.col("least.id").alias("_id"), F.col("text_hash").alias("n")), "simhash-ends")
-    text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    texts = rows.join(ends, rows["id"].eqNullSafe(F.col("_id")) & (F.col("h") == F.col("n"))).select("n", "text").dropDuplicates(["n"])
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = pa.array([shingle_set(t.as_py(), shingle) for t in batch.column(1)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["n", "own"])
 
-    sets = materialize(texts.mapInArrow(run, "n bigint, own array<bigint>"), "simhash-sets")
-    both = edges.join(sets.select(F.col("n").alias("u"), F.col("own").alias("a")), "u").join(sets.select(F.col("n").alias("v"), F.col("own").alias("b")), "v")
-    common = F.size(F.array_intersect("a", "b"))
-    found = connected_components(both.where(common >= F.lit(similarity) * (F.size("a") + F.size("b") - common)).select("u", "v"))
-    return found.select(F.col("node").alias("u"), F.col("root").alias("v")).union(further_links(found, sets, similarity))
-
-
-def link_similar(sets: list[np.ndarray], group: list[int], similarity: float) -> Iterator[tuple[int, int]]:
+def link_similar(sets: list[np.ndarray], similarity: float, group: Sequence | None = None, asks: Sequence[int] | None = None) -> Iterator[tuple[int, int]]:
     """Edges (index, index) that connect all groups with a pair of similar sets; members of a group count as connected.
 
-    A member is compared with all those not yet reached, by the places of its own elements.
+    A set is compared with all others by the places of its own elements. What two groups have in common
+    is seen from either, so members of the largest group needn't ask. With `asks`, just these ask, and only
+    pairs with one of them count.
     """
+    n = len(sets)
     size = np.array([len(x) for x in sets], np.int64)
-    ends = np.concatenate([[0], np.cumsum(size)])
     flat = np.concatenate(sets)
     order = np.argsort(flat, kind="stable")
     flat = flat[order]
     ranks = np.cumsum(np.append(False, flat[1:] != flat[:-1])[: len(flat)], dtype=np.int32)
-    del flat
     code = np.empty(len(order), np.int32)
     code[order] = ranks
-    holder = np.repeat(np.arange(len(sets), dtype=np.int32), size)[order]
-    del order
+    ends = np.concatenate([[0], np.cumsum(size)])
+    holder = np.repeat(np.arange(n, dtype=np.int32), size)[order]
     often = np.bincount(ranks)
-    del ranks
     starts = np.concatenate([[0], np.cumsum(often)])
-    members: dict[int, list[int]] = {}
-    for i, g in enumerate(group):
-        members.setdefault(g, []).append(i)
-    left, groups = np.ones(len(sets), bool), len(members)
-    for seed in range(len(sets)):
-        if not left[seed]:
-            continue
-        queue, groups = list(members[group[seed]]), groups - 1
-        left[queue] = False
-        while queue and groups:
-            at = queue.pop()
-            own = code[ends[at] : ends[at + 1]]
-            own = own[often[own] > 1]
-            held = np.concatenate([holder[starts[c] : starts[c + 1]] for c in own]) if len(own) else holder[:0]
-            common = np.bincount(held, minlength=len(sets))
-            common[at] = size[at]
-            for i in np.flatnonzero(left & (common >= similarity * (size[at] + size - common))).tolist():
-                if left[i]:
+
+    def near(at: int) -> list[int]:
+        own = code[ends[at] : ends[at + 1]]
+        own = own[often[own] > 1]
+        held = np.concatenate([holder[starts[c] : starts[c + 1]] for c in own.tolist()]) if len(own) else holder[:0]
+        common = np.bincount(held, minlength=n)
+        common[at] = size[at]
+        return np.flatnonzero(common >= similarity * (size[at] + size - common) - 1e-9).tolist()
+
+    root, weight = list(range(n)), [1] * n
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    def joined(i: int, j: int) -> bool:
+        i, j = find(i), find(j)
+        if i == j:
+            return False
+        i, j = (i, j) if weight[i] >= weight[j] else (j, i)
+        root[j], weight[i] = i, weight[i] + weight[j]
+        return True
+
+    first: dict = {}
+    for i, g in enumerate(group if group is not None else ()):
+        joined(first.setdefault(g, i), i)
+    left = list(range(n) if asks is None else asks)
+    largest = find(max(range(n), key=lambda i: weight[find(i)])) if n else 0
+    while left:
+        later = []
+        for at in left:
+            if weight[largest] == n:
+                return
+            if asks is None and find(at) == largest and weight[largest] > 1:
+                later.append(at)
+                continue
+            for i in near(at):
+                if joined(at, i):
                     yield at, i
-                    more = members[group[i]]
-                    left[more], groups = False, groups - 1
-                    queue += more
+            if weight[mine := find(at)] > weight[largest := find(largest)]:
+                largest = mine
+        # another group may have become the largest since
+        left = [at for at in later if find(at) != find(largest)]
 
 
-def further_links(found: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Edges that connect all groups (found: node, root) with a pair of similar sets.
+def similar_edges(texts: DataFrame, shingle: int, similarity: float, block: int = BLOCK_WORDS) -> DataFrame:
+    """Edges (u, v) of keys that connect all pairs of texts of one family with similar shingle sets. texts: (family, blocks, words, key, text).
 
-    Two similar sets share one of the first n - ceil(similarity x n) + 1 elements of each (n: its size), in
-    any fixed order. Only texts that share one of those with another group's text are compared, in one task
-    for all that such elements connect.
+    A family of one block is compared at once. Of one with more, each block is compared by itself, together
+    with pivots, of which there are an eighth of a block's words. Then what isn't in the family's largest
+    group is compared with the whole family, one chunk with one block a task. So a family of any size never
+    meets in one task, and moves in proportion to its size unless a large part of it is like nothing else.
     """
-    size = F.size("own")
-    first = F.when(size == 0, F.array(F.lit(0).cast("bigint"))).otherwise(F.slice("own", F.lit(1), size - F.ceil(size * F.lit(similarity) - F.lit(1e-9)).cast("int") + 1))
-    grouped = sets.select("n", first.alias("first")).join(found, F.col("n") == F.col("node"), "left")
-    keys = grouped.select("n", F.coalesce("root", "n").alias("grp"), F.explode("first").alias("s"))
-    shared = keys.groupBy("s").agg(F.min("grp").alias("least"), F.max("grp").alias("most")).where("least < most").select("s", "least")
-    met = materialize(keys.join(shared, "s").select("n", "grp", "least").distinct(), "simhash-met")
-    parts = connected_components(met.select(F.col("grp").alias("u"), F.col("least").alias("v")))
-    rows = met.select("n", "grp").distinct().join(parts, F.col("grp") == F.col("node"), "left")
-    rows = rows.select("n", "grp", F.coalesce("root", "grp").alias("part")).join(sets, "n")
-
-    def run(table: pa.Table) -> pa.Table:
-        names = table.column("n").to_numpy()
-        own = [np.asarray(x.values) for x in table.column("own")]
-        found = np.array(list(link_similar(own, table.column("grp").to_pylist(), similarity)), np.int64).reshape(-1, 2)
-        return pa.table({"u": names[found[:, 0]], "v": names[found[:, 1]]})
-
-    return rows.groupBy("part").applyInArrow(run, "u bigint, v bigint")
-
-
-def keep_one_each(docs: DataFrame, shingle: int = CANDIDATES[0], radius: int = CANDIDATES[1], prints: int = CANDIDATES[2], verify: tuple[int, float] | None = VERIFY, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without near-duplicates: of each group, the row of least id stays (null ids last, then by text hash).
-
-    With `verify` = (words, similarity), the texts that have SimHash links are grouped by all pairs of them
-    whose shingle sets are that similar; equal texts, and all texts without words, are one group.
-    Without, all SimHash links count.
+
+    def numbers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, at, held = [], 0, 0
+            for i, t in enumerate(batch.column(batch.num_columns - 1)):
+                own.append(shingle_set(t.as_py(), shingle))
+                held += len(own[-1])
+                if held >= BATCH_NUMBERS or i == batch.num_rows - 1:
+                    part = batch.slice(at, i + 1 - at)
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(own, pa.list_(pa.int64()))], names=[*part.schema.names[:-1], "own"])
+                    own, at, held = [], i + 1, 0
+
+    def compare(table: pa.Table) -> pa.Table:
+        sets = [np.asarray(x.values) for x in table.column("own")]
+        names, asks = table.column("key"), None
+        group = table.column("grp").to_pylist()
+        if table.column("ask").null_count == 0:
+            asks = np.flatnonzero(table.column("ask").to_numpy()).tolist()
+        found = np.array(list(link_similar(sets, similarity, group, asks)), np.int64).reshape(-1, 2)
+        return pa.table({"u": names.take(pa.array(found[:, 0])), "v": names.take(pa.array(found[:, 1]))})
+
+    part = F.pmod(F.xxhash64("key"), F.col("blocks"))
+    pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("key", F.lit("pivot")), F.col("blocks") * 8) == 0)
+    at = F.when(pivot, F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).otherwise(F.array(part))
+    sets = texts.select("family", "blocks", "key", "text").mapInArrow(numbers, "family bigint, blocks bigint, key string, own array<bigint>")
+    rows = sets.select("family", F.explode(at).alias("block"), "key", "own", F.col("key").alias("grp"), F.lit(None).cast("boolean").alias("ask"))
+    edges = materialize(rows.groupBy("family", "block").applyInArrow(compare, "u string, v string"), "simhash-edges")
+
+    large = texts.where("blocks > 1")
+    names = materialize(large.select("family", "blocks", "words", "key"), "simhash-large")
+    if names.isEmpty():
+        return edges
+    found = connected_components(edges)
+    names = names.join(found, F.col("key") == F.col("node"), "left").withColumn("grp", F.coalesce("root", "key"))
+    most = names.groupBy("family", "grp").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("grp", F.struct("n", "grp")).alias("most"))
+    names = materialize(names.join(most, "family").select("family", "blocks", "words", "key", "grp", (F.col("grp") != F.col("most")).alias("rest")), "simhash-large")
+    chunks = names.where("rest").groupBy("family").agg(F.ceil(F.sum("words") / F.lit(block)).cast("bigint").alias("chunks"))
+    names = materialize(names.join(chunks, "family").select("key", "grp", "rest", "chunks"), "simhash-rest")
+    sets = large.join(names, "key").select("family", "blocks", "chunks", "grp", "rest", "key", "text").mapInArrow(numbers, "family bigint, blocks bigint, chunks bigint, grp string, rest boolean, key string, own array<bigint>")
+    upto = lambda n: F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)
+    side = lambda chunk, block, ask: F.struct(chunk.cast("bigint").alias("chunk"), block.cast("bigint").alias("block"), F.lit(ask).alias("ask"))
+    every = F.transform(upto("chunks"), lambda c: side(c, part, False))
+    asked = F.transform(upto("blocks"), lambda b: side(F.pmod(F.xxhash64("key", F.lit("chunk")), F.col("chunks")), b, True))
+    rows = sets.select("family", "grp", "key", "own", F.explode(F.when(F.col("rest"), F.concat(every, asked)).otherwise(every)).alias("at")).select("family", "at.*", "key", "own", "grp")
+    more = rows.groupBy("family", "chunk", "block").applyInArrow(compare, "u string, v string").where("u != v")
+    return edges.union(materialize(more, "simhash-edges"))
+
+
+def families(nodes: DataFrame, radius: int) -> DataFrame:
+    """(n, family) of the nodes (n bigint, fp array) that SimHash links connect with another: one of their fingerprints is near, or equal."""
+    own = nodes.select("n", F.posexplode("fp").alias("i", "fp"))
+    prints = materialize(own.groupBy("i", "fp").agg(F.min("n").alias("rep"), F.max("n").alias("last")), "simhash-prints")
+    near = materialize(link_fingerprints(prints.select("i", "fp"), radius).distinct(), "simhash-near")
+    rep = prints.select("i", "fp", "rep")
+    links = near.join(rep.select("i", F.col("fp").alias("u"), F.col("rep").alias("a")), ["i", "u"]).join(rep.select("i", F.col("fp").alias("v"), F.col("rep").alias("b")), ["i", "v"]).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    equal = own.join(prints.where("rep < last"), ["i", "fp"]).select(F.col("n").alias("u"), F.col("rep").alias("v"))
+    found = connected_components(links.union(equal))
+    return found.select(F.col("node").alias("n"), F.col("root").alias("family")).union(found.select(F.col("root").alias("n"), F.col("root").alias("family")).distinct())
+
+
+def keep_one_each(docs: DataFrame, shingle: int = CANDIDATES[0], radius: int = CANDIDATES[1], prints: int = CANDIDATES[2], verify: tuple[int, float] = VERIFY, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of docs without near-duplicates: of each group, the row of least id stays (null ids last, then by other columns).
+
+    Texts of one family (see `families`) are grouped by all pairs of them whose sets of shingles, of
+    `verify` = (words, similarity), are that similar. Equal texts, and all texts without words (null, too),
+    are one group. Texts are told apart by 128-bit hashes. Any other columns are kept as they are; repeated
+    rows are reduced to one; an empty table gives an empty result.
     """
-    rows = fingerprint_rows(docs, shingle, seed, id_col, text_col, prints)
-
-    def edges(nodes: DataFrame) -> DataFrame:
-        found = link_fingerprints(nodes, radius, "text_hash", prints)
-        return similar_edges(docs, nodes, found, *verify, id_col, text_col) if verify else found
-
-    found = classes_of(rows, "text_hash", edges)
-    least = materialize(found.select("least.id", "least.text_hash").distinct(), "simhash-kept").select(F.col("id").alias("_id"), F.col("text_hash").alias("_text_hash"))
-    kept = docs.withColumns({"_hash": F.xxhash64(F.col(text_col).cast("string")), "_row": F.xxhash64(F.struct("*"))})
-    kept = kept.join(least, kept[id_col].eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text_hash")))
-    # repeated rows of the least id are reduced to one
-    w = W.partitionBy(kept[id_col], "_hash").orderBy("_row")
-    return kept.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*docs.columns)
+    text = F.col(text_col).cast("string")
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(F.to_json(F.struct(*others)) if others else F.lit(0)).alias("other"))
+    key = F.coalesce(F.md5(text.cast("binary")), F.lit(""))
+    rows = docs.select(key.alias("key"), order.alias("order"), text.alias("text"))
+    schema = T.StructType([rows.schema["key"], rows.schema["order"], T.StructField("words", T.LongType()), T.StructField("fp", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [distinct_fingerprints(t.as_py(), shingle, prints, seed) for t in batch.column(2)]
+            fps = np.array([f for _, f in found], np.uint64).reshape(-1, prints).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([n for n, _ in found], pa.int64()), pa.array(list(fps), pa.list_(pa.int64()))], names=schema.names)
+
+    nodes = rows.mapInArrow(run, schema).groupBy("key").agg(F.min("order").alias("least"), F.min("words").alias("words"), F.min("fp").alias("fp"))
+    nodes = materialize(nodes.withColumn("n", F.xxhash64("key")), "simhash-nodes")
+    met = materialize(nodes.select("key", "least", "words", "n").join(families(nodes, radius), "n"), "simhash-met")
+    size = met.groupBy("family").agg(F.greatest(F.lit(1), F.ceil(F.sum("words") / F.lit(block))).cast("bigint").alias("blocks"))
+    met = materialize(met.join(size, "family").select("key", "least", "words", "family", "blocks"), "simhash-met")
+
+    # One row of each text, combined before the shuffle; the join needs no other.
+    first = docs.select(key.alias("key"), order.alias("order"), F.struct("*").alias("row")).groupBy("key").agg(F.min_by("row", "order").alias("row"))
+    texts = materialize(first.join(met.drop("least"), "key", "left"), "simhash-texts")
+    own = texts.where(F.col("family").isNotNull())
+    found = connected_components(similar_edges(own.select("family", "blocks", "words", "key", F.col("row")[text_col].cast("string").alias("text")), *verify, block))
+    group = met.join(found, F.col("key") == F.col("node")).select("key", "least", "root")
+    group = materialize(group.union(met.join(found.select("root").distinct(), F.col("key") == F.col("root")).select("key", "least", "root")), "simhash-groups")
+    kept = group.groupBy("root").agg(F.min(F.struct("least", "key"))["key"].alias("kept"))
+    gone = materialize(group.join(kept, "root").where("key != kept").select("key"), "simhash-gone")
+    return texts.where(F.col("family").isNull()).select("row.*").union(own.join(gone, "key", "left_anti").select("row.*"))

@@ -205,7 +205,9 @@ def test_similar_sets_are_linked_as_by_all_pairs():
 
     common = lambda a, b: len(np.intersect1d(a, b))
     pairs = [(i, j) for i in range(60) for j in range(i) if common(sets[i], sets[j]) >= 0.8 * (len(sets[i]) + len(sets[j]) - common(sets[i], sets[j]))]
-    assert parts(link_similar(sets, group, 0.8)) == parts(pairs)
+    assert parts(link_similar(sets, 0.8, group)) == parts(pairs)
+    asks = [i for i in range(60) if i % 3 == 0]
+    assert parts(link_similar(sets, 0.8, group, asks)) == parts([(i, j) for i, j in pairs if i % 3 == 0 or j % 3 == 0])
 
 
 # 2 substring dedup
