@@ -372,21 +372,45 @@ def phrases(sample, text):
     return n
 
 
-def test_cross_parsing_equals_brute_force():
-    from lumenstack.llm.language import BLOCK, Identifier
+@pytest.mark.parametrize("dense", [100, 4])
+def test_cross_parsing_equals_brute_force(monkeypatch, dense):
+    """With 4 dense letters, the others take the sorted list."""
+    from lumenstack.llm import language
 
+    monkeypatch.setattr(language, "DENSE", dense)
     rnd = random.Random(8)
     word = lambda al: "".join(rnd.choice(al) for _ in range(rnd.randrange(1, 6)))
-    samples = {"x": " ".join(word("abcde") for _ in range(300)), "y": " ".join(word("cdefg") for _ in range(300))}
-    ident = Identifier(samples)
-    size = min(map(len, samples.values()))
-    coded = {k: (" " + s)[: size] for k, s in samples.items()}
+    samples = {"x": " ".join(word("abcde") for _ in range(300)), "y": " ".join(word("cdefg") for _ in range(40))}
+    ident = language.Identifier(samples)
+    coded = {k: f" {s} " for k, s in samples.items()}
     texts = [" ".join(word("abcdefgz") for _ in range(rnd.randrange(1, 300))) for _ in range(20)] + ["A,b;;C!"]
-    for text, got in zip(texts, ident.phrases(texts)):
+    for text, (got, missing) in zip(texts, ident.phrases(texts)):
         normal = " " + re.sub("[^a-z]+", " ", text.lower()).strip() + " "
         for k, lang in enumerate(ident.languages):
-            want = sum(phrases(coded[lang], normal[i : i + BLOCK]) for i in range(0, len(normal), BLOCK))
+            want = sum(phrases(coded[lang], normal[i : i + language.BLOCK]) for i in range(0, len(normal), language.BLOCK))
             assert got[k] == want
+            assert missing[k] == sum(c not in coded[lang] for c in normal)
+
+
+def test_languages_of_any_script_and_size():
+    """Large alphabets lose no letter; a small sample neither wins by its size nor cuts the others."""
+    from lumenstack.llm.language import Identifier
+
+    rnd = random.Random(5)
+    say = lambda letters, n: " ".join("".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 5))) for _ in range(n))
+    zh, ja = [chr(0x4E00 + i) for i in range(600)], [chr(0x3041 + i) for i in range(80)] + [chr(0x4E00 + i) for i in range(300, 400)]
+    samples = {"zh": say(zh, 4000), "ja": say(ja, 4000), "en": "the and of with from this that have been were " * 300, "de": "der die das und nicht mit von auf ist ein " * 300, "q": "zu li", "none": ""}
+    ident = Identifier(samples)
+    texts = [say(zh[:300], 40), say(ja, 40), "the men were with that and this from", "das ist nicht von der und mit ein auf", samples["zh"][500:560]]
+    assert [x[0] for x in ident.identify(texts)] == ["zh", "ja", "en", "de", "zh"]
+
+
+def test_repeated_rows_are_learned_once(spark):
+    from lumenstack.llm.language import learn_samples
+
+    rows = [(1, "hot text " * 20, "en")] * 3000 + [(i, f"other words {i} " * 5, "en") for i in range(2, 12)]
+    found = learn_samples(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), F.lit(True))
+    assert found["en"].count("hot text hot") <= 20 and all(f"words {i} " in found["en"] for i in range(2, 12))
 
 
 def test_language_edges(spark):
