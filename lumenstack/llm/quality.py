@@ -31,8 +31,6 @@ from pyspark.sql import types as T
 from lumenstack.llm.text import word_chunks
 
 SAMPLE, TERMS, RANK, NEIGHBOURS, POWER = 6000, 2000, 48, 25, 8
-#: A small sample has few rows of a kind; it votes with a fortieth of its rows, but not fewer than this.
-LEAST_NEIGHBOURS = 5
 LAGS = (1, 2, 3)
 SHAPE = bytes(b if b in b" \t\n\x0b\x0c\r" else 65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 57 if 48 <= b <= 57 else b for b in range(256))
 
@@ -112,7 +110,7 @@ class Model:
 
     def vote(self, counts: np.ndarray) -> list[float]:
         near = self.project(counts) @ self.vectors.T
-        k = min(near.shape[1], max(LEAST_NEIGHBOURS, min(NEIGHBOURS, near.shape[1] // 40)))
+        k = min(near.shape[1], NEIGHBOURS)
         best = np.argpartition(near, -k, axis=1)[:, -k:]
         weight = np.clip(np.take_along_axis(near, best, axis=1), 0, None) ** POWER
         total = weight.sum(axis=1)
@@ -185,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE,
 
 
 def score_quality(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """(id, score) of every row, with `keep` all columns of docs and `_score`: one narrow pass.
+    """(id, score) of every row, with `keep` (row, score), where `row` holds all columns of docs: one narrow pass.
 
     Only the text goes to Python and only the score comes back; the other columns stay in the JVM.
     """
@@ -198,4 +196,4 @@ def score_quality(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     score = F.arrow_udf(run, "double")(F.col(text_col).cast("string"))
-    return docs.withColumn("_score", score) if keep else docs.select(id_col, score.alias("score"))
+    return docs.select(F.struct("*").alias("row") if keep else id_col, score.alias("score"))

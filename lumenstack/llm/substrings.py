@@ -12,9 +12,10 @@ Buckets hold BUCKET_BYTES of text on average, so their number grows with the inp
 
 Hot minimisers, of a passage that a large share of the documents holds, are known from a routing
 sample of documents (whole texts; it decides the route, never the result). Their super-k-mers are
-salted over SALTS buckets. There, each window that occurs once leaves one record with its place, and
-each that occurs more often one record without; a second grouping, by the window's words, gets at
-most SALTS records of any window, however often it occurs.
+salted over at least SALTS buckets, and over as many as their share of all windows fills. There, each
+window that occurs once leaves one record with its place, and each that occurs more often one record
+without; a second grouping, by the window's words, gets at most one record a salt of any window, however
+often it occurs.
 
 Null texts have no words. Null ids are kept; repeated rows are duplicates of each other. Documents of
 fewer words than a window are kept whole. An empty table gives an empty result. Other columns are
@@ -173,8 +174,8 @@ class Batch:
         starts, windows = at[cuts], np.diff(np.append(cuts, len(at)))
         return numbers, starts, windows, least[starts], np.searchsorted(firsts, starts, "right") - 1, firsts, run_hashes(words, self.window)
 
-    def blocks(self, buckets: int, hot: np.ndarray, salt: int) -> Iterator[tuple[int, bool, bytes]]:
-        """(bucket, salted, block) of the batch; hot minimisers go to a bucket chosen by salt too."""
+    def blocks(self, buckets: int, hot: np.ndarray, salts: np.ndarray, salt: int) -> Iterator[tuple[int, bool, bytes]]:
+        """(bucket, salted, block) of the batch; hot minimisers (ascending) go to a bucket chosen by salt, modulo their number of salts, too."""
         if not self.segments:
             return
         numbers, starts, windows, least, segment, firsts, hashes = self.super_kmers()
@@ -184,7 +185,10 @@ class Batch:
         # Equal super-k-mers are found by the hash of their first and last window and compared word by word.
         like = mix(hashes[starts] * ODD + hashes[starts + windows - 1] + windows.astype(np.uint64))
         salted = np.isin(least, hot)
-        bucket = (mix(least + np.where(salted, np.uint64(salt + 1), np.uint64(0)) * ODD) % np.uint64(buckets)).astype(np.int64)
+        own = np.zeros(len(least), np.uint64)
+        if len(hot):
+            own[salted] = np.uint64(salt) % salts[np.searchsorted(hot, least[salted])] + np.uint64(1)
+        bucket = (mix(least + own * ODD) % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((like, salted, bucket))
         head = np.ones(len(order), bool)
         head[1:] = like[order[1:]] != like[order[:-1]]
@@ -329,16 +333,21 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, minimiser: int = MINIM
     routing = materialize(routing, "substring-routing")
     total = routing.agg(F.sum("n")).first()[0] or 0
     bar = max(ROUTE_FLOOR, ROUTE_SHARE * total / buckets)
-    hot = np.array([r[0] for r in routing.where(F.col("n") >= bar).select("least").collect()], np.int64).view(np.uint64)
+    # at most 2 x buckets rows, and buckets are at least BUCKET_BYTES of text
+    found = [(r["least"], r["n"]) for r in routing.where(F.col("n") >= bar).collect()]
+    hot = np.array([x for x, _ in found], np.int64).view(np.uint64)
+    order = np.argsort(hot)
+    salts = np.array([max(SALTS, -(-n * buckets // max(1, total))) for _, n in found], np.uint64)[order]
+    hot = hot[order]
 
     def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        salt = (context.partitionId() if context else 0) % SALTS
+        salt = context.partitionId() if context else 0
 
         def emit(b: Batch) -> Iterator[pa.RecordBatch]:
-            for bucket, salted, data in b.blocks(buckets, hot, salt):
+            for bucket, salted, data in b.blocks(buckets, hot, salts, salt):
                 yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([salted]), pa.array([data], pa.binary())], names=["bucket", "salted", "block"])
             b.clear()
 
@@ -383,7 +392,7 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, minimiser: int = MINIM
     plain = found.where("words is null").select("key", "start", "end")
     single = found.where("words is not null").groupBy("words").agg(
         (F.count("*") - F.count("key")).alias("marks"), F.count("key").alias("n"), F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "start", "end"))).alias("at")
-    )  # at most SALTS records a window
+    )  # at most one record a salt and window
     again = single.where("n + marks > 1").select(F.explode("at").alias("s")).select("s.*")
     return plain.union(again)
 

@@ -261,7 +261,7 @@ def test_hash_collisions_are_told_apart(monkeypatch):
     for key, text in ((b"a" * 16, "a b c d"), (b"b" * 16, "x b c d"), (b"c" * 16, "q r s")):
         batch.add(key, text)
     bucket = substrings.Bucket(3)
-    for _, _, data in batch.blocks(1, np.array([], np.uint64), 0):
+    for _, _, data in batch.blocks(1, np.array([], np.uint64), np.array([], np.uint64), 0):
         bucket.add(data)
     keys, start, end = bucket.spans()
     assert sorted((bytes(k.tobytes())[:1], int(a), int(b)) for k, a, b in zip(keys, start, end)) == [(b"a", 1, 4), (b"b", 1, 4)]
@@ -334,7 +334,33 @@ def test_quality(spark):
     assert fit(docs, labels.where("false"), F.lit(True)) is None
     assert {r.score for r in score_quality(docs, None).collect()} == {0.5}
     kept = score_quality(docs, model, keep=True)
-    assert kept.columns == [*docs.columns, "_score"]
+    assert kept.columns == ["row", "score"] and kept.select("row.*").schema == docs.schema
+    named = docs.selectExpr("doc_id", "text", "77 as _score", "'x' as score", "1 as row", "map('a', 1) as m")
+    again = {r.row.doc_id: (r.score, r.row["_score"], r.row["score"], r.row["row"]) for r in score_quality(named, model, keep=True).collect()}
+    assert again == {i: (s, 77, "x", 1) for i, s in rows.items()}
+
+
+def test_votes_equal_all_cosines():
+    """Against plain cosines of every labelled vector, nearest first."""
+    import numpy as np
+
+    from lumenstack.llm.quality import NEIGHBOURS, POWER, Model
+
+    rng = np.random.default_rng(4)
+    terms, n = [b"w%d" % i for i in range(30)], 200
+    axes, vectors = rng.standard_normal((30, 8)), rng.standard_normal((n, 8))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    model = Model(terms, rng.random(30) + 0.5, axes, vectors, rng.integers(0, 2, n).astype(float))
+    texts = [" ".join(str(rng.integers(0, 40)) for _ in range(k)) for k in (1, 5, 40, 300)]
+    for text, got in zip(texts, model.scores(texts)):
+        count = [sum(w == t[1:].decode() for w in text.split()) for t in terms]
+        x = [(c / max(1, sum(count))) ** 0.5 * f for c, f in zip(count, model.idf)]
+        y = [sum(a * axes[i, k] for i, a in enumerate(x)) for k in range(8)]
+        length = sum(v * v for v in y) ** 0.5
+        near = sorted(((sum(a * b for a, b in zip(y, v)) / (length or 1), label) for v, label in zip(vectors, model.labels)), reverse=True)[:NEIGHBOURS]
+        weight = [max(0.0, c) ** POWER for c, _ in near]
+        want = sum(w * label for w, (_, label) in zip(weight, near)) / sum(weight) if sum(weight) else model.labels.mean()
+        assert got == pytest.approx(want, abs=2e-6)
 
 
 def test_counts_of_terms_agree():
@@ -477,6 +503,24 @@ def test_decontamination_edges(spark):
 # 7 sharding
 
 
+def test_differencing_equals_a_plain_version():
+    """Repeatedly the two partials of largest spread, added in opposite orders."""
+    from lumenstack.llm.sharding import partition
+
+    rnd = random.Random(6)
+    for parts in (2, 3, 5):
+        sizes = [rnd.randrange(1, 100_000) for _ in range(40)]
+        partials = [[(0, frozenset())] * (parts - 1) + [(s, frozenset([i]))] for i, s in enumerate(sizes)]
+        while len(partials) > 1:
+            partials.sort(key=lambda p: p[-1][0] - p[0][0])
+            a, b = partials.pop(), partials.pop()
+            partials.append(sorted(((x + y, m | k) for (x, m), (y, k) in zip(a, reversed(b))), key=lambda t: t[0]))
+        got: dict = {}
+        for i, part in enumerate(partition(sizes, parts)):
+            got.setdefault(part, set()).add(i)
+        assert sorted(map(sorted, got.values())) == sorted(sorted(m) for _, m in partials[0])
+
+
 def test_sharding(spark):
     import zlib
 
