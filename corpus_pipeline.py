@@ -23,28 +23,37 @@ SHARDS = 24
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: documents scored below QUALITY go. Learned from the labels outside the held-out fold."""
+    """Operator 4: documents scored below QUALITY go. Learned from the labels outside the held-out fold.
+
+    Null and empty texts are scored like any other; repeated rows are judged one by one.
+    """
     model = fit(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id")) != 2)
-    return score_quality(docs, model, keep=True).where(F.col("_score") >= QUALITY).drop("_score")
+    return score_quality(docs, model, keep=True).where(F.col("score") >= QUALITY).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: SimHash candidates, verified at 0.8 over five-word shingles; the least id of each group stays."""
+    """Operator 1: SimHash families, verified at 0.8 over five-word shingles; the least id of each group stays.
+
+    Texts without words (null, empty) are one group; repeated rows are reduced to one.
+    """
     return keep_one_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: documents that hold a window of a benchmark item go."""
+    """Operator 6: documents that hold a window of a benchmark item go. Null and empty texts hold none and stay."""
     return remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: each document as often as the mix takes it (0, 1 or 2 times)."""
+    """Operator 3: each document as often as the mix takes it (0, 1 or 2 times).
+
+    Null sources are one source, the last. Null texts have size 0; repeated rows are taken one by one.
+    """
     return mixed_rows(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: doc_id, size, text_crc32, shard and slot of every row of the mix."""
+    """Operator 7: doc_id, size, text_crc32, shard and slot of every row of the mix; equal texts share a shard."""
     return shard_by_bytes(docs, SHARDS)
 
 
