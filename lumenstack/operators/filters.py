@@ -148,21 +148,97 @@ CODECS = {
     "1.2.840.10008.1.2.4.110": "jpeg_xl",
     "1.2.840.10008.1.2.5": "rle",
 }
-#: Storage classes (below 1.2.840.10008.5.1.4.1.1) of each object kind, matched exactly.
+#: Storage classes of each object kind, matched exactly.
 OBJECT_KINDS = {
-    "classic_image": "1 1.1 1.2 1.2.1 2 3.1 4 6.1 7 7.1 12.1 12.2 20 77.1.1 77.1.2 77.1.4 128",
-    "enhanced_image": "2.1 4.1 130",
-    "whole_slide_microscopy": "77.1.6",
-    "segmentation": "66.4 66.7",
-    "parametric_map": "30",
-    "real_world_value_mapping": "67",
-    "presentation_state": "11.1 11.2 11.4 11.8",
-    "registration": "66.1 66.3",
-    "structured_report": "88.11 88.33 88.34",
-    "key_object_selection": "88.59",
-    "waveform": "9.1.1 9.1.2",
-    "radiation_therapy": "481.1 481.2 481.3 481.5 481.12 481.13",
-    "encapsulated_pdf": "104.1",
+    "classic_image": [
+        "1.2.840.10008.5.1.4.1.1.1",
+        "1.2.840.10008.5.1.4.1.1.1.1",
+        "1.2.840.10008.5.1.4.1.1.1.2",
+        "1.2.840.10008.5.1.4.1.1.1.2.1",
+        "1.2.840.10008.5.1.4.1.1.2",
+        "1.2.840.10008.5.1.4.1.1.3.1",
+        "1.2.840.10008.5.1.4.1.1.4",
+        "1.2.840.10008.5.1.4.1.1.6.1",
+        "1.2.840.10008.5.1.4.1.1.7",
+        "1.2.840.10008.5.1.4.1.1.7.1",
+        "1.2.840.10008.5.1.4.1.1.12.1",
+        "1.2.840.10008.5.1.4.1.1.12.2",
+        "1.2.840.10008.5.1.4.1.1.20",
+        "1.2.840.10008.5.1.4.1.1.77.1.1",
+        "1.2.840.10008.5.1.4.1.1.77.1.2",
+        "1.2.840.10008.5.1.4.1.1.77.1.4",
+        "1.2.840.10008.5.1.4.1.1.128",
+    ],
+    "enhanced_image": [
+        "1.2.840.10008.5.1.4.1.1.2.1",
+        "1.2.840.10008.5.1.4.1.1.4.1",
+        "1.2.840.10008.5.1.4.1.1.130",
+    ],
+    "whole_slide_microscopy": [
+        "1.2.840.10008.5.1.4.1.1.77.1.6",
+    ],
+    "segmentation": [
+        "1.2.840.10008.5.1.4.1.1.66.4",
+        "1.2.840.10008.5.1.4.1.1.66.7",
+    ],
+    "parametric_map": [
+        "1.2.840.10008.5.1.4.1.1.30",
+    ],
+    "real_world_value_mapping": [
+        "1.2.840.10008.5.1.4.1.1.67",
+    ],
+    "presentation_state": [
+        "1.2.840.10008.5.1.4.1.1.11.1",
+        "1.2.840.10008.5.1.4.1.1.11.2",
+        "1.2.840.10008.5.1.4.1.1.11.4",
+        "1.2.840.10008.5.1.4.1.1.11.8",
+    ],
+    "registration": [
+        "1.2.840.10008.5.1.4.1.1.66.1",
+        "1.2.840.10008.5.1.4.1.1.66.3",
+    ],
+    "structured_report": [
+        "1.2.840.10008.5.1.4.1.1.88.11",
+        "1.2.840.10008.5.1.4.1.1.88.33",
+        "1.2.840.10008.5.1.4.1.1.88.34",
+    ],
+    "key_object_selection": [
+        "1.2.840.10008.5.1.4.1.1.88.59",
+    ],
+    "waveform": [
+        "1.2.840.10008.5.1.4.1.1.9.1.1",
+        "1.2.840.10008.5.1.4.1.1.9.1.2",
+    ],
+    "radiation_therapy": [
+        "1.2.840.10008.5.1.4.1.1.481.1",
+        "1.2.840.10008.5.1.4.1.1.481.2",
+        "1.2.840.10008.5.1.4.1.1.481.3",
+        "1.2.840.10008.5.1.4.1.1.481.5",
+        "1.2.840.10008.5.1.4.1.1.481.12",
+        "1.2.840.10008.5.1.4.1.1.481.13",
+    ],
+    "encapsulated_pdf": [
+        "1.2.840.10008.5.1.4.1.1.104.1",
+    ],
+}
+#: Three-sample layouts that a codec displays, by bits.
+COLORS = {
+    ("native", 8): ["RGB", "YBR_FULL", "YBR_FULL_422"],
+    ("jpeg_baseline", 8): ["RGB", "YBR_FULL", "YBR_FULL_422"],
+    ("jpeg_lossless", 8): ["RGB", "YBR_FULL"],
+    ("jpeg_2000", 8): ["RGB", "YBR_RCT", "YBR_ICT"],
+    ("jpeg_2000", 16): ["RGB", "YBR_RCT", "YBR_ICT"],
+    ("jpeg_xl", 8): ["RGB", "YBR_RCT", "YBR_FULL"],
+    ("rle", 8): ["RGB", "YBR_FULL", "YBR_FULL_422"],
+}
+#: Bits that the native codec reads of each kind of sample, and the others of integers.
+NATIVE_BITS = {"integer": [1, 8, 16, 32], "float32": [32], "float64": [64]}
+CODED_BITS = [8, 16]
+#: Reasons of syntaxes that are known but not read.
+SYNTAX_REASONS = {
+    "1.2.840.10008.1.2.4.81": "transfer_syntax.jpeg_ls_not_supported",
+    "1.2.840.10008.1.2.4.111": "transfer_syntax.jpeg_xl_not_supported",
+    "1.2.840.10008.1.2.4.112": "transfer_syntax.jpeg_xl_not_supported",
 }
 
 
@@ -176,7 +252,7 @@ def codec(syntax: Column) -> Column:
 
 def object_kind(sop_class: Column, fmt: Column | None = None) -> Column:
     """The kind of an exactly known class, else unknown; a raster is an image."""
-    table = {f"1.2.840.10008.5.1.4.1.1.{x}": kind for kind, own in OBJECT_KINDS.items() for x in own.split()}
+    table = {uid: kind for kind, own in OBJECT_KINDS.items() for uid in own}
     kind = F.coalesce(_lookup(table, sop_class), F.lit("unknown"))
     return kind if fmt is None else F.when(is_raster(fmt), "image").otherwise(kind)
 
@@ -184,32 +260,43 @@ def object_kind(sop_class: Column, fmt: Column | None = None) -> Column:
 def pixel_support(f: Column) -> Column:
     """struct(state, reason) by the ordered rules: renderable, metadata_only or unsupported.
 
-    f: struct(format, raster_unsupported, has_pixels, syntax, rows, columns, samples, bits, signed, kind, photometric).
+    f: struct(format, raster_unsupported, has_pixels, syntax, rows, columns, samples, bits, signed, kind, photometric);
+    kind is integer (also null), float32 or float64.
     """
-    own, mono = codec(f["syntax"]), F.upper(F.trim(f["photometric"])).isin("MONOCHROME1", "MONOCHROME2")
-    photometric = F.upper(F.trim(f["photometric"]))
-    says = lambda state, reason=None: F.struct(F.lit(state).alias("state"), F.lit(reason).cast("string").alias("reason"))
-    raster = F.when(f["raster_unsupported"].isNull(), says("renderable")).otherwise(F.struct(F.lit("unsupported").alias("state"), F.concat(F.lit("raster."), f["raster_unsupported"]).alias("reason")))
-    deflated = (f["rows"] > 0) & (f["columns"] > 0) & (f["bits"] == 1) & ~f["signed"] & (f["samples"] == 1) & mono
-    integer = F.coalesce(f["kind"], F.lit("integer")) == "integer"
-    precise = F.when(own == "native", F.when(integer, f["bits"].isin(1, 8, 16, 32)).otherwise(f["bits"].isin(32, 64))).otherwise(integer & f["bits"].isin(8, 16))
+    own, bits = codec(f["syntax"]), f["bits"]
+    says = lambda state, reason=None: F.struct(F.lit(state).alias("state"), (reason if isinstance(reason, Column) else F.lit(reason)).cast("string").alias("reason"))
+    layout = lambda reason: says("unsupported", f"pixel_layout.{reason}")
+    good = says("renderable")
+    raster = F.when(f["raster_unsupported"].isNull(), good).otherwise(says("unsupported", F.concat(F.lit("raster."), f["raster_unsupported"])))
+    bare = F.trim(f["photometric"])
+    packed = (f["rows"] > 0) & (f["columns"] > 0) & (bits == 1) & ~f["signed"] & (f["samples"] == 1) & bare.isin("MONOCHROME1", "MONOCHROME2")
+
+    kind = F.coalesce(f["kind"], F.lit("integer"))
+    native = reduce(lambda a, b: a | b, ((kind == k) & bits.isin(own_bits) for k, own_bits in NATIVE_BITS.items()))
+    precise = F.when(own == "native", native).otherwise((kind == "integer") & bits.isin(CODED_BITS))
+    name = F.upper(bare)
+    shown = reduce(lambda a, b: a | b, ((own == c) & (bits == n) & name.isin(names) for (c, n), names in COLORS.items()))
+    palette = own.isin("native", "rle") & (bits == 8)
+    single = (
+        F.when(name.isin("MONOCHROME1", "MONOCHROME2"), good)
+        .when(name == "PALETTE COLOR", F.when(palette, good).otherwise(layout("palette_color_not_supported")))
+        .otherwise(layout("photometric_interpretation_not_supported"))
+    )
+    anywhere = sorted({n for names in COLORS.values() for n in names})
+    triple = F.when(shown, good).when(name.isin(anywhere), layout("generic_color_rendering_only")).otherwise(layout("samples_per_pixel_not_supported"))
+    frames = (
+        F.when((f["rows"] == 0) | (f["columns"] == 0), layout("invalid_geometry"))
+        .when(f["samples"] == 0, layout("samples_per_pixel_not_supported"))
+        .when(precise, F.when(f["samples"] == 1, single).when(f["samples"] == 3, triple).otherwise(layout("samples_per_pixel_not_supported")))
+        .when(bits == 1, layout("bit_packed_not_supported"))
+        .otherwise(layout("numeric_precision_not_supported"))
+    )
     return (
         F.when(is_raster(f["format"]), raster)
-        .when(~f["has_pixels"], says("metadata_only", "pixel_data_absent_or_unrecognized"))
-        .when(own.isNull(), says("unsupported", "transfer_syntax_not_supported"))
-        .when((own == "deflated_frame") & deflated, says("renderable"))
-        .when(own == "deflated_frame", says("unsupported", "bit_packed_pixels_not_supported"))
-        .when((f["rows"] == 0) | (f["columns"] == 0), says("unsupported", "invalid_geometry"))
-        .when(f["samples"] == 0, says("unsupported", "samples_per_pixel_not_supported"))
-        .when(~precise & (f["bits"] == 1), says("unsupported", "bit_packed_pixels_not_supported"))
-        .when(~precise, says("unsupported", "numeric_precision_not_supported"))
-        .when((f["samples"] == 1) & mono, says("renderable"))
-        .when((f["samples"] == 1) & (photometric == "PALETTE COLOR") & (f["bits"] == 8), says("renderable"))
-        .when((f["samples"] == 1) & (photometric == "PALETTE COLOR"), says("unsupported", "palette_color_not_supported"))
-        .when((f["samples"] == 3) & (f["bits"] == 8) & photometric.isin("RGB", "YBR_FULL", "YBR_FULL_422", "YBR_ICT", "YBR_RCT"), says("renderable"))
-        .when((f["samples"] == 3) & photometric.isin("RGB", "YBR_FULL", "YBR_FULL_422", "YBR_ICT", "YBR_RCT"), says("unsupported", "generic_color_rendering_only"))
-        .when(f["samples"] == 1, says("unsupported", "photometric_interpretation_not_supported"))
-        .otherwise(says("unsupported", "samples_per_pixel_not_supported"))
+        .when(~f["has_pixels"], says("metadata_only", "pixel_data.absent_or_unrecognized"))
+        .when(own.isNull(), says("unsupported", F.coalesce(_lookup(SYNTAX_REASONS, f["syntax"]), F.lit("transfer_syntax.not_supported"))))
+        .when(own == "deflated_frame", F.when(F.coalesce(packed, F.lit(False)), good).otherwise(layout("bit_packed_not_supported")))
+        .otherwise(frames)
     )
 
 

@@ -41,7 +41,8 @@ def with_keys(files: DataFrame) -> DataFrame:
     relied = F.col("relied") if "relied" in files.columns else F.lit(False)
     usable = usable_uid(F.col("sop_instance_uid"))
     rows = files.withColumn("_group", F.when(usable, F.col("sop_instance_uid"))).withColumn("_relied", relied)
-    w = W.partitionBy("_group")
+    # files without a usable identifier, and without a key, have nothing in common: each is a partition of its own
+    w = W.partitionBy("_group", F.when(F.col("_group").isNull(), F.col("seq")))
     ordered = w.orderBy("seq").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     rows = rows.withColumns({
         "_sizes": F.min("size_bytes").over(w) != F.max("size_bytes").over(w),
@@ -66,7 +67,7 @@ def with_keys(files: DataFrame) -> DataFrame:
     )
     rows = rows.withColumns({"key": key, "_kept": split & own.isNull()})
     settled = F.coalesce(F.startswith("key", F.lit("b3:")), F.lit(False)) | (F.col("_any") & F.col("key").isNotNull())
-    holder = F.min("seq").over(W.partitionBy("key"))
+    holder = F.min("seq").over(W.partitionBy("key", F.when(F.col("key").isNull(), F.col("seq"))))
     rows = rows.withColumns({
         "settled": settled,
         "alias_of": F.when(F.col("key").isNotNull() & ~F.col("_kept") & (holder != F.col("seq")), holder),

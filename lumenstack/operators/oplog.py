@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -199,58 +200,51 @@ def folded_state(ops: DataFrame) -> DataFrame:
     return _sorted_fold(ops, run, "store string, kind string, id string, rev bigint, deleted boolean, record string")
 
 
+def _chosen(old: np.ndarray, new: np.ndarray, leave: bool) -> list[int]:
+    """The old item that becomes each leading new one, ascending: most equal, then most items, then the earliest.
+
+    With `leave`, new items may be left over; without, all of them get an old one.
+    """
+    worth = len(new) + 1  # of an equal item, more than all places together
+    # row j: what the new items from j on are worth at best if the old items from a column on are free
+    best = np.full((len(new) + 1, len(old) + 1), 0 if leave else -(worth**2) * 2, np.int64)
+    best[-1] = 0
+    gain = lambda j, at: best[j + 1, at + 1 :] + 1 + worth * (old[at:] == new[j])
+    for j in range(len(new) - 1, -1, -1):
+        best[j, :-1] = np.maximum(np.maximum.accumulate(gain(j, 0)[::-1])[::-1], best[j, -1])
+    found: list[int] = []
+    for j in range(len(new)):
+        at = found[-1] + 1 if found else 0
+        if at == len(old):
+            break
+        found.append(at + int(gain(j, at).argmax()))
+    return found
+
+
 def pairing(had: list, wanted: list, cells: int = MAX_CELLS) -> list[int | None]:
     """For each old item the new one it becomes, in order, or None.
 
     The most items that stay equal, then the most pairs, then earlier items first; new items without an
-    old one must come last. The equal run at the start is paired first; where the table would pass
-    `cells`, the equal run at the end too, and then the middle by a table without new items or by place.
+    old one must come last. The equal run at the start is paired first; where the rest has more than
+    `cells` combinations, the equal run at the end too, and then the middle without new items or by place.
     """
-    n, m = len(had), len(wanted)
-    given: list[int | None] = [None] * n
-    start = 0
-    while start < min(n, m) and had[start] == wanted[start]:
-        given[start] = start
-        start += 1
-
-    def table(rows: int, columns: int, creates: bool) -> None:
-        # best[i][j]: (equal, pairs) reachable from old i and new j on; None if the rest of the new can't be placed
-        best: list[list[tuple[int, int] | None]] = [[None] * (columns + 1) for _ in range(rows + 1)]
-        for j in range(columns + 1):
-            best[rows][j] = (0, 0) if creates or j == columns else None
-        for i in range(rows - 1, -1, -1):
-            for j in range(columns, -1, -1):
-                skip = best[i + 1][j]
-                pair = None
-                if j < columns and best[i + 1][j + 1] is not None:
-                    e, p = best[i + 1][j + 1]
-                    same = had[start + i] == wanted[start + j]
-                    pair = (e + same, p + 1)
-                best[i][j] = max((x for x in (skip, pair) if x is not None), default=None)
-        i = j = 0
-        while i < rows and j < columns:
-            if best[i + 1][j + 1] is not None:
-                e, p = best[i + 1][j + 1]
-                if best[i][j] == (e + (had[start + i] == wanted[start + j]), p + 1):
-                    given[start + i] = start + j
-                    j += 1
-            i += 1
-
-    rows, columns = n - start, m - start
-    if (rows + 1) * (columns + 1) <= cells:
-        table(rows, columns, True)
-        return given
-    end = 0
-    while m <= n and end < columns and had[n - 1 - end] == wanted[m - 1 - end]:
-        given[n - 1 - end] = m - 1 - end
-        end += 1
-    rows, columns = rows - end, columns - end
-    if (rows + 1) * (columns + 1) <= cells:
-        table(rows, columns, end == 0)
+    codes = {x: k for k, x in enumerate(dict.fromkeys([*had, *wanted]))}
+    old, new = (np.array([codes[x] for x in xs], np.int64) for xs in (had, wanted))
+    run = lambda a, b: int(np.append(a[: len(b)] != b[: len(a)], True).argmax())
+    head = run(old, new)
+    became: dict[int, int] = {k: k for k in range(head)}
+    old, new = old[head:], new[head:]
+    tail = 0
+    if (len(old) + 1) * (len(new) + 1) > cells and len(new) <= len(old):
+        tail = run(old[::-1], new[::-1])
+        became |= {len(had) - 1 - k: len(wanted) - 1 - k for k in range(tail)}
+        old, new = old[: len(old) - tail], new[: len(new) - tail]
+    if (len(old) + 1) * (len(new) + 1) <= cells:
+        places = _chosen(old, new, leave=not tail)
     else:
-        for k in range(start, start + min(rows, columns)):
-            given[k] = k
-    return given
+        places = range(min(len(old), len(new)))
+    became |= {head + i: head + j for j, i in enumerate(places)}
+    return [became.get(i) for i in range(len(had))]
 
 
 def replacement_ops(lists: DataFrame) -> DataFrame:
@@ -267,7 +261,8 @@ def replacement_ops(lists: DataFrame) -> DataFrame:
                 given = pairing(had, wanted)
                 ops = [("update", i, j) for i, j in enumerate(given) if j is not None and had[i] != wanted[j]]
                 ops += [("delete", i, None) for i, j in enumerate(given) if j is None]
-                ops += [("create", None, j) for j in range(len(wanted)) if j not in set(given)]
+                taken = set(given)
+                ops += [("create", None, j) for j in range(len(wanted)) if j not in taken]
                 out += [(file, step, op, None if i is None else had[i], None if j is None else wanted[j]) for step, (op, i, j) in enumerate(ops)]
             yield pd.DataFrame(out, columns=["file", "step", "op", "old", "new"])
 

@@ -61,17 +61,17 @@ def import_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "roi_export_sorted",
     """
-    SELECT o_orderpriority AS anon_dicom_path, CAST(count(*) AS VARCHAR) AS num_ROI,
+    SELECT '/data/' || o_custkey AS anon_dicom_path, CAST(count(*) AS VARCHAR) AS num_ROI,
            '[' || string_agg('[' || o_orderkey % 7 || ',' || o_orderkey % 11 || ',' || (o_orderkey % 7 + 5) || ',' || (o_orderkey % 11 + 5) || ']', ',' ORDER BY o_orderkey) || ']' AS ROI_coords,
            '[' || string_agg('[' || o_orderkey % 3 || ']', ',' ORDER BY o_orderkey) || ']' AS ROI_frames
-    FROM orders WHERE o_orderkey % 50 = 0 GROUP BY o_orderpriority
+    FROM orders GROUP BY o_custkey
     """,
 )
 def roi_export_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists by path as compact JSON, in byte order of the path (SRC-15)."""
     k = F.col("o_orderkey")
     box = F.array(k % 7, k % 11, k % 7 + 5, k % 11 + 5)
-    rows = table(spark, sf_dir, "orders").where(k % 50 == 0).groupBy(F.col("o_orderpriority").alias("path"))
+    rows = table(spark, sf_dir, "orders").groupBy(F.concat(F.lit("/data/"), F.col("o_custkey").cast("string")).alias("path"))
     lists = rows.agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), box.alias("box"), F.array(k % 3).alias("frames")))).alias("all"))
     lists = lists.select("path", F.transform("all", lambda x: x["box"]).alias("roi_coords"), F.transform("all", lambda x: x["frames"]).alias("roi_frames"))
     return rois.export_rows(lists)
@@ -152,14 +152,14 @@ def label_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "staged_and_edited",
     """
-    SELECT doc_id AS file_index, 'import' AS source FROM documents WHERE doc_id % 2 = 0 AND n_chars > 200 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)
+    SELECT doc_id AS file_index, 'import' AS source FROM documents WHERE n_chars > 200 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)
     UNION ALL SELECT doc_id, 'edit' FROM labels WHERE quality = 0
     """,
 )
 def staged_and_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An edit wins over a late import (ST-16)."""
     box = F.array(F.array(F.lit(0), F.lit(0), F.lit(1), F.lit(1)))
-    staged = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("file_index"), F.when(F.col("n_chars") > 200, box).otherwise(F.array().cast("array<array<int>>")).alias("roi_coords"))
+    staged = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_index"), F.when(F.col("n_chars") > 200, box).otherwise(F.array().cast("array<array<int>>")).alias("roi_coords"))
     edited = table(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").alias("file_index"), box.alias("roi_coords"))
     return oplog.staged_and_edited(staged, edited).select("file_index", "source")
 
@@ -175,7 +175,16 @@ def quantized_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "quantum", F.col("c.value").alias("clamped"), F.col("c.moved").alias("moved"))
 
 
-@query("op_log_fold")
+@query(
+    "op_log_fold",
+    """
+    WITH e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id, event_id % 5 ORDER BY event_id) AS n FROM events),
+         d AS (SELECT *, min(n) FILTER (event_type = 'purchase' AND n > 1) OVER (PARTITION BY user_id, event_id % 5) AS gone FROM e)
+    SELECT CAST(user_id AS VARCHAR) AS store, event_id AS seq, CAST(event_id AS VARCHAR) AS op_id,
+           CASE WHEN n > gone THEN 'conflict' ELSE 'ok' END AS result, CASE WHEN n > gone THEN 'deleted' END AS code, CASE WHEN n > gone THEN gone END AS rev
+    FROM d
+    """,
+)
 def op_log_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Envelopes made of events, folded by user: outcomes with optimistic revisions (ST-8 to ST-12)."""
     record = F.format_string("u%d-%d", F.col("user_id"), F.col("event_id") % 5)

@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenstack.functions.text import first_known, known_first, natural_key
 from lumenstack.numbering import numbered
-from lumenstack.operators import catalog
+from lumenstack.operators import catalog, series
 from lumenstack.operators.filters import ScanFilter, scan_filter, search
 from lumenstack.operators.series import anchor_groups
 from lumenstack.registry import query
 from lumenstack.session import table
 
 
+def frame_columns(study: Column, name: Column, index: Column, number: Column, at: Column) -> list[Column]:
+    """The columns of an ordinary stack's frames, at a position along the third axis (null: none)."""
+    empty = {c: F.lit(None).cast("string") for c in ("kind_uid", "kind_role", "kind_rows", "kind_columns")}
+    numbers = {c: F.lit(None).cast("bigint") for c in ("concatenation_offset", "in_concatenation_number")}
+    own = {
+        "study": study, "series": name, "file_index": index, "instance_number": number, "frame_index": F.lit(0), "path": F.lit(""), "kind": F.lit("ordinary"), "own": F.lit(True),
+        "position": F.when(at.isNotNull(), F.array(F.lit(0.0), F.lit(0.0), at.cast("double"))), "orientation": F.array(*[F.lit(x) for x in (1.0, 0.0, 0.0, 0.0, 1.0, 0.0)]),
+    }
+    return [c.alias(n) for n, c in {**own, **empty, **numbers}.items()]
+
+
 @query(
     "series_stacks",
     """
@@ -25,11 +36,12 @@ from lumenstack.session import table
     """,
 )
 def series_stacks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Filter, two-level grouping and stack order (FLT-2, AGG-1, SORT-1, WIN-1)."""
-    w = W.partitionBy("study", "series").orderBy(F.col("l_shipdate").asc_nulls_last(), "l_linenumber", "l_partkey")
+    """Filter, two-level grouping, stack order by position along the normal and virtual index (FLT-2, AGG-1, SORT-1, SORT-3, SORT-4, WIN-1)."""
     rows = table(spark, sf_dir, "lineitem").where(F.col("l_quantity") >= 10)
-    rows = rows.select((F.col("l_suppkey") % 50).alias("study"), F.col("l_orderkey").alias("series"), "l_linenumber", "l_partkey", "l_shipdate")
-    return rows.select("study", "series", "l_linenumber", "l_partkey", (F.row_number().over(w) - 1).cast("bigint").alias("virtual_index"))
+    day = F.unix_seconds(F.col("l_shipdate").cast("timestamp")) / 86400
+    frames = rows.select("l_partkey", "l_linenumber", *frame_columns((F.col("l_suppkey") % 50).cast("string"), F.col("l_orderkey").cast("string"), F.col("l_partkey"), F.col("l_linenumber"), day))
+    found = series.series_stacks(frames)
+    return found.select(F.col("study").cast("bigint").alias("study"), F.col("series").cast("bigint").alias("series"), "l_linenumber", "l_partkey", F.col("virtual_index").cast("bigint").alias("virtual_index"))
 
 
 @query(
@@ -59,22 +71,6 @@ def scoped_search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type").where(search("type:economy 1", scopes=scopes, fmt=None))
 
 
-@query(
-    "format_sniff",
-    """
-    SELECT CASE WHEN starts_with(lower(substr(html, 1, 132)), '<!doctype') THEN 'doctype'
-                WHEN starts_with(lower(substr(html, 1, 132)), '<html') THEN 'html' ELSE 'other' END AS format,
-           count(*) AS n
-    FROM pages GROUP BY 1
-    """,
-)
-def format_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Format by the first 132 characters only, in order of precedence (SRC-4)."""
-    head = F.lower(F.substring("html", 1, 132))
-    kind = F.when(F.startswith(head, F.lit("<!doctype")), "doctype").when(F.startswith(head, F.lit("<html")), "html").otherwise("other")
-    return table(spark, sf_dir, "pages").groupBy(kind.alias("format")).agg(F.count("*").alias("n"))
-
-
 DISCOVERY = """
     SELECT doc_id, CASE WHEN n_chars < 100 THEN 'skipped' WHEN lang <> 'en' THEN 'filtered' ELSE 'selected' END AS disposition,
            CASE WHEN n_chars < 20 THEN 'unrecognized_format' WHEN n_chars < 100 THEN 'inspection_failed'
@@ -120,12 +116,11 @@ def recent_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stack_spacing_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spacing of adjacent distinct positions, compared with the first one (WIN-2, WIN-3)."""
-    at = F.unix_timestamp(F.date_trunc("second", F.col("ts").cast("timestamp"))).cast("double")
-    w = W.partitionBy("user_id").orderBy("at")
-    rows = table(spark, sf_dir, "events").select("user_id", at.alias("at")).distinct()
-    rows = rows.withColumn("gap", F.lead("at").over(w) - F.col("at")).withColumn("first_gap", F.first("gap").over(w))
-    odd = F.coalesce(F.bool_or(F.abs(F.col("gap") - F.col("first_gap")) > 1e-5), F.lit(False))
-    return rows.groupBy("user_id").agg(F.count("*").alias("positions"), F.min("gap").alias("least_gap"), F.max("gap").alias("largest_gap"), odd.alias("nonuniform"))
+    at = F.unix_timestamp(F.date_trunc("second", F.col("ts").cast("timestamp")))
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", at.alias("at"))
+    frames = rows.select(*frame_columns(F.lit("s"), F.col("user_id").cast("string"), F.col("event_id"), F.col("event_id"), F.col("at")))
+    found, gaps = series.stack_warnings(frames), F.col("adjacent_spacing")
+    return found.select(F.col("series").cast("bigint").alias("user_id"), (F.size(gaps) + 1).cast("bigint").alias("positions"), F.array_min(gaps).alias("least_gap"), F.array_max(gaps).alias("largest_gap"), F.col("nonuniform_spacing").alias("nonuniform"))
 
 
 @query(
@@ -159,25 +154,32 @@ def duplicate_positions_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def missing_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members of a stack without a position, as an anti join (WIN-5)."""
-    placed = table(spark, sf_dir, "lineitem").where("l_quantity > 40").select(F.col("l_orderkey").alias("o_orderkey"))
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(placed, "o_orderkey", "left_anti")
-    return rows.groupBy("o_custkey").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_order"))
+    """Members of a stack without a position (WIN-5)."""
+    placed = table(spark, sf_dir, "lineitem").where("l_quantity > 40").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_quantity").cast("double").alias("at"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(placed, "o_orderkey", "left")
+    frames = rows.select(*frame_columns(F.lit("s"), F.col("o_custkey").cast("string"), F.col("o_orderkey"), F.col("o_orderkey"), F.col("at")))
+    missing = F.col("missing_positions")
+    found = series.stack_warnings(frames).where(F.size(missing) > 0)
+    return found.select(F.col("series").cast("bigint").alias("o_custkey"), F.size(missing).cast("bigint").alias("n"), F.array_min(F.transform(missing, lambda m: m["file_index"])).alias("first_order"))
 
 
 @query(
-    "navigator_rollup",
+    "navigator_counts",
     """
-    SELECT r_name, n_name, count(DISTINCT n_name) AS nations, count(*) AS customers
-    FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey
-    GROUP BY ROLLUP (r_name, n_name)
+    WITH c AS (SELECT c_custkey, 'patient:' || r_name AS patient_key, 'patient:' || r_name || '/study:' || n_name AS study_key, c_mktsegment FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey)
+    SELECT patient_key, study_key, count(DISTINCT study_key) AS studies, count(DISTINCT study_key || '/' || c_mktsegment) AS series, count(*) AS images FROM c GROUP BY GROUPING SETS ((patient_key), (patient_key, study_key))
     """,
 )
-def navigator_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts at every level of the tree (AGG-3, AGG-4). Customers are summed by nation before the dimension joins."""
-    counts = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"))
-    rows = counts.join(table(spark, sf_dir, "nation"), "n_nationkey").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return rows.rollup("r_name", "n_name").agg(F.countDistinct("n_name").alias("nations"), F.sum("n").alias("customers"))
+def navigator_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Studies, series and images of every patient and study of the tree (AGG-3, AGG-4)."""
+    places = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name", "n_name")
+    rows = table(spark, sf_dir, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"))
+    none = F.lit(None).cast("string")
+    files = rows.select(
+        F.col("c_custkey").alias("file_index"), F.col("r_name").alias("patient_id"), none.alias("patient_name"), F.col("n_name").alias("study_instance_uid"), none.alias("study_description"), none.alias("study_date"),
+        F.col("c_mktsegment").alias("series_instance_uid"), none.alias("series_number"), none.alias("series_description"),
+    )
+    return catalog.navigator_counts(catalog.navigator_rows(files)).select("patient_key", "study_key", "studies", "series", "images")
 
 
 @query(
@@ -248,13 +250,13 @@ def catalog_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     "natural_order",
     """
     SELECT c_custkey, row_number() OVER (ORDER BY length(regexp_extract(n, '[0-9]+', 0)), regexp_extract(n, '[0-9]+', 0), c_custkey) AS place
-    FROM (SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS n FROM customer WHERE c_nationkey = 3)
+    FROM (SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS n FROM customer)
     """,
 )
 def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with numbers in natural order: file9 before file10 (SORT-6)."""
     name = F.concat(F.lit("File"), F.col("c_custkey").cast("string"))
-    rows = table(spark, sf_dir, "customer").where("c_nationkey = 3").select("c_custkey", natural_key(name).alias("key"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", natural_key(name).alias("key"))
     return numbered(rows, ["key", "c_custkey"], "place").select("c_custkey", F.col("place").cast("bigint").alias("place"))
 
 

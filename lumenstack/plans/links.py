@@ -17,7 +17,7 @@ from lumenstack.session import table
     WITH e AS (SELECT l_orderkey * 10 + l_linenumber AS edge_id,
                       CASE WHEN l_linenumber % 3 <> 0 THEN l_partkey END AS instance,
                       CASE WHEN l_linenumber % 2 = 0 THEN 'Brand#' || (l_partkey % 5 + 1) END AS series
-               FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem WHERE l_orderkey % 7 = 0 GROUP BY 1, 2)),
+               FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY 1, 2)),
          m AS (SELECT e.edge_id, p.p_partkey FROM e JOIN part p ON p.p_partkey = e.instance AND (e.series IS NULL OR e.series = substr(p.p_brand, 1, 7))
                UNION ALL
                SELECT e.edge_id, p.p_partkey FROM e JOIN part p ON e.instance IS NULL AND e.series = substr(p.p_brand, 1, 7) AND p.p_size = 7)
@@ -28,7 +28,7 @@ from lumenstack.session import table
 )
 def resolve_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges by instance, by series, or by both; unresolved ones are kept (JOIN-1 to JOIN-3, JOIN-9)."""
-    own = table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % 7 == 0).groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
+    own = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
     edges = own.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("edge_id"),
         F.lit("source_image").alias("relationship"),
@@ -106,14 +106,15 @@ def companions_or_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH d AS (SELECT doc_id AS file_index, source AS study, lang AS series, n_chars // 500 AS grid, doc_id % 3 AS frame_count FROM documents)
     SELECT b.file_index, count(*) AS n, count(*) FILTER (a.frame_count = b.frame_count) AS scoped, min(a.file_index) AS first_source
     FROM d a JOIN d b ON a.study = b.study AND a.series = b.series AND a.grid = b.grid AND a.file_index <> b.file_index
-    WHERE a.file_index % 10 = 0 GROUP BY b.file_index
+    WHERE a.file_index IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY b.file_index
     """,
 )
 def series_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes of some files copied to the others of their series and size (JOIN-19)."""
+    """Boxes of the files that carry a label copied to the others of their series and size (JOIN-19)."""
     grid = F.floor(F.col("n_chars") / 500)
     files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_index"), F.col("source").alias("study"), F.col("lang").alias("series"), grid.alias("rows"), F.lit(1).alias("columns"), (F.col("doc_id") % 3).alias("frame_count"))
-    boxes = files.where(F.col("file_index") % 10 == 0).select("file_index", F.array(F.array(F.lit(0), F.lit(0), F.lit(1), F.lit(1))).alias("roi_coords"), F.array(F.array(F.lit(0))).alias("roi_frames"))
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("file_index"))
+    boxes = files.join(toxic, "file_index", "left_semi").select("file_index", F.array(F.array(F.lit(0), F.lit(0), F.lit(1), F.lit(1))).alias("roi_coords"), F.array(F.array(F.lit(0))).alias("roi_frames"))
     found = links.propagate_in_series(boxes, files)
     return found.groupBy("file_index").agg(F.count("*").alias("n"), F.count("roi_frames").alias("scoped"), F.min("copied_from").alias("first_source"))
 
@@ -121,14 +122,14 @@ def series_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "path_suffix_join",
     """
-    WITH n AS (SELECT DISTINCT regexp_extract(url, '([^/]+/[^/]+)$', 1) AS name FROM pages WHERE page_id % 4 = 0)
+    WITH n AS (SELECT DISTINCT regexp_extract(url, '([^/]+/[^/]+)$', 1) AS name FROM pages)
     SELECT name, count(*) AS n, min(url) AS first_path FROM n JOIN pages ON url = name OR ends_with(url, '/' || name) WHERE name <> '' GROUP BY name
     """,
 )
 def path_suffix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that end the paths of files, by whole components (JOIN-13)."""
     pages = table(spark, sf_dir, "pages")
-    names = pages.where(F.col("page_id") % 4 == 0).select(F.regexp_extract("url", "([^/]+/[^/]+)$", 1).alias("name")).where("name <> ''")
+    names = pages.select(F.regexp_extract("url", "([^/]+/[^/]+)$", 1).alias("name")).where("name <> ''")
     found = links.path_suffix_join(names, pages.select(F.col("url").alias("path")))
     return found.groupBy("name").agg(F.count("*").alias("n"), F.min("path").alias("first_path"))
 
@@ -176,7 +177,7 @@ def pyramid_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     "plane_bracket_asof",
     """
     WITH o AS (SELECT o_custkey, epoch(max(o_orderdate))::DOUBLE / 86400 AS day, max(o_orderkey) AS plane FROM orders GROUP BY o_custkey, o_orderdate::DATE),
-         p AS (SELECT l_orderkey, l_linenumber, o_custkey, epoch(l_shipdate)::DOUBLE / 86400 AS day FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_orderkey % 5 = 0),
+         p AS (SELECT l_orderkey, l_linenumber, o_custkey, epoch(l_shipdate)::DOUBLE / 86400 AS day FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
          lo AS (SELECT p.*, o.day AS low_day, o.plane AS low FROM p ASOF LEFT JOIN o ON p.o_custkey = o.o_custkey AND p.day >= o.day),
          b AS (SELECT lo.*, o.day AS high_day, o.plane AS high FROM lo ASOF LEFT JOIN o ON lo.o_custkey = o.o_custkey AND lo.day < o.day)
     SELECT l_orderkey, l_linenumber, low, high, round((day - low_day) / nullif(high_day - low_day, 0), 6) AS weight FROM b
@@ -187,7 +188,7 @@ def plane_bracket_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = lambda c: F.unix_seconds(F.col(c).cast("timestamp")).cast("double") / 86400
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     planes = orders.groupBy("o_custkey", F.to_date("o_orderdate").alias("d")).agg(F.max(day("o_orderdate")).alias("day"), F.max("o_orderkey").alias("plane"))
-    points = table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % 5 == 0).select("l_orderkey", "l_linenumber", day("l_shipdate").alias("day"))
+    points = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", day("l_shipdate").alias("day"))
     points = points.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "o_custkey", "day")
     found = links.asof_bracket(points, planes.select("o_custkey", "day", "plane"), ["o_custkey"], "day", "day", "plane")
     return found.select("l_orderkey", "l_linenumber", "low", "high", F.round("weight", 6).alias("weight"))
