@@ -2,7 +2,8 @@
 
 Hundreds of regular expressions, each gated by a keyword: a rule runs on a text only if its keyword
 occurs in it. Rules are ordered by priority; a detection whose interval lies inside a longer one is
-suppressed, and of equal intervals the one of the earlier rule stays. Base phrases (a label for words that stand
+suppressed, and of equal intervals the one of the earlier rule stays. Of the rest, overlapping ones are
+settled by priority: the earlier rule's stays, of one rule the first in the text. Base phrases (a label for words that stand
 consecutively) are counted at every place and their labels are never suppressed.
 
 Texts are lower-cased for A-Z only and matched as UTF-8 bytes; a blank in a rule stands for any run
@@ -16,6 +17,7 @@ scanned as a whole; memory is a small multiple of one text.
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -186,6 +188,25 @@ def rules() -> list[Rule]:
     return tags + links + names + [Rule(label, gate(p, k.split()[0]), phrase(p), 0.5) for label, k, p in NOTICES]
 
 
+def resolved(found: list[tuple[int, int, str, float, int]]) -> list[tuple[int, int, str, float]]:
+    """Detections (start, end, label, weight, rank) that no other one contains, without those that overlap one of an earlier rule.
+
+    By start, longest first, one sweep drops what is contained. Starts and ends of the rest both ascend,
+    so a detection can only overlap its neighbours among those accepted before.
+    """
+    free, reach = [], -1
+    for d in sorted(found, key=lambda d: (d[0], -d[1], d[4])):
+        if d[1] > reach:
+            free.append(d)
+            reach = d[1]
+    kept: list[tuple[int, int, str, float, int]] = []
+    for d in sorted(free, key=lambda d: (d[4], d[0])):
+        at = bisect(kept, d[0], key=lambda k: k[0])
+        if (at == 0 or kept[at - 1][1] <= d[0]) and (at == len(kept) or d[1] <= kept[at][0]):
+            kept.insert(at, d)
+    return [d[:4] for d in kept]
+
+
 class Scanner:
     def __init__(self, base: dict[str, str] = BASE):
         self.rules = rules()
@@ -194,21 +215,13 @@ class Scanner:
         self.words = re.compile(WORD)
 
     def detections(self, text: bytes) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str, float]]]:
-        """Base places, and the rules' detections that no other one contains; `text` is lower-cased."""
+        """Base places, and the rules' detections that suppression leaves; `text` is lower-cased."""
         present = {k for k in self.keywords if k in text}
         if not present:
             return [], []
         places = [(m.start(), m.end(), label) for label, k, p in self.base if k in present for m in p.finditer(text)]
-        kept: list[tuple[int, int, str, float]] = []
         found = [(m.start(), m.end(), r.label, r.weight, rank) for rank, r in enumerate(self.rules) if r.keyword in present for m in r.pattern.finditer(text)]
-        # By start, longest first: one sweep finds containers. An interval is suppressed by one that contains
-        # it and is longer, or equally long and of an earlier rule.
-        reach = -1
-        for start, end, label, weight, _ in sorted(found, key=lambda d: (d[0], -d[1], d[4])):
-            if end > reach:
-                kept.append((start, end, label, weight))
-                reach = end
-        return places, kept
+        return places, resolved(found)
 
     def scan(self, text: str | None) -> tuple:
         data = (text or "").encode("utf-8", "surrogatepass").lower()

@@ -486,6 +486,8 @@ def test_decontamination(spark, limit):
     got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in find_hits(docs, bench, set_limit=limit).collect()}
     want = contamination(texts, items)
     assert got == dict(enumerate(want))
+    for r in find_hits(docs, bench, set_limit=limit).collect():
+        assert sum(s.end - s.start for s in r.spans) == r.n_hit and all(a.end < b.start for a, b in zip(r.spans, r.spans[1:]))
     clean = remove_contaminated(docs, bench, set_limit=limit)
     assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == [i for i, w in enumerate(want) if not w[1]]
     cut = {r.doc_id: r.text for r in remove_spans(docs, bench, set_limit=limit).collect()}
@@ -686,6 +688,33 @@ def test_longer_detections_suppress_shorter():
     assert [k[2] for k in kept] == ["lgpl-2.1", "bsd-3-clause"]
 
 
+def test_licenses_equal_all_rules_and_all_pairs_of_intervals():
+    """Every rule on the whole text without gates, containment over all pairs, then a greedy choice over all kept ones."""
+    from lumenstack.llm.licenses import FAMILIES, NOTICES, Scanner, resolved, rules
+
+    def plain(found):
+        inside = lambda a, b: b[0] <= a[0] and a[1] <= b[1] and (b[1] - b[0] > a[1] - a[0] or (b[:2] == a[:2] and b[4] < a[4]))
+        free = [a for a in found if not any(inside(a, b) for b in found)]
+        kept = []
+        for a in sorted(free, key=lambda d: (d[4], d[0])):
+            if all(a[1] <= b[0] or b[1] <= a[0] for b in kept):
+                kept.append(a)
+        return sorted(a[:4] for a in kept)
+
+    rnd = random.Random(31)
+    for _ in range(300):
+        spans = {(a, a + rnd.randint(1, 9), i): None for i in range(rnd.randint(0, 12)) for a in [rnd.randint(0, 20)]}
+        found = [(a, b, str(rank), 0.5, rank) for a, b, rank in spans]
+        rnd.shuffle(found)
+        assert resolved(found) == plain(found)
+    every, scanner = rules(), Scanner()
+    parts = [re.sub(r"\([^()|]*\)\?|[()?\\]|\[[^]]*\](\{[^}]*\})?", "", n.split("|")[0]) for _, _, names, links in FAMILIES for n in names + links] + [p for _, _, p in NOTICES if not set("()[]") & set(p)]
+    for _ in range(60):
+        text = " ".join(rnd.choice(parts) if rnd.random() < 0.6 else rnd.choice(["or", "version 2", "the", "licensed under the", "xyz."]) for _ in range(rnd.randint(0, 12))).lower().encode()
+        found = [(m.start(), m.end(), r.label, r.weight, rank) for rank, r in enumerate(every) for m in r.pattern.finditer(text)]
+        assert scanner.detections(text)[1] == plain(found), text
+
+
 # 10 token counts
 
 
