@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from lumenstack.functions import privacy, samples
 from lumenstack.operators import catalog, filters, links
 from lumenstack.operators.filters import FORMATS
+from lumenstack.session import path_exists
 from lumenstack.sources import rois, scan
 
 
@@ -84,4 +84,4 @@ def open_catalog(spark: SparkSession, paths: str | Sequence[str], filters: Seque
     roots = [paths] if isinstance(paths, str) else list(paths)
     found, records = scan.discover(spark, roots, filters, formats, recursive)
     numbered = catalog.with_revisions(found, ["path"], -1).withColumnRenamed("revision", "file_index").withColumn("file_index", F.col("file_index").cast("int"))
-    return Catalog(numbered, records, mask_key, [p for p in roots if os.path.exists(p)], recursive)
+    return Catalog(numbered, records, mask_key, [p for p in roots if path_exists(spark, p)], recursive)

@@ -80,7 +80,8 @@ def settle(files: DataFrame, wanted: DataFrame) -> DataFrame:
     """(seq, outcome, key) for the files asked for: final, wanted (a digest is missing) or failed (ST-6)."""
     rows = with_keys(files)
     group = F.when(usable_uid(F.col("sop_instance_uid")), F.col("sop_instance_uid"))
-    w = W.partitionBy(group)
+    # a file without a usable identifier is final by its own digest or not at all: nothing of other files counts
+    w = W.partitionBy(group, F.when(group.isNull(), F.col("seq")))
     first = F.min_by(F.struct("digest", "failure"), "seq").over(w)
     open_ = F.max((F.col("digest").isNull() & F.col("failure").isNull()).cast("int")).over(w) == 1
     alone = F.min("path").over(w) == F.max("path").over(w)

@@ -65,7 +65,7 @@ def stack_order() -> list[Column]:
     """In a concatenation: offset + frame (nulls last), number in it, frame; then, as elsewhere, geometry."""
     inside = F.col("kind") == "concatenation"
     at = F.when(inside, F.col("concatenation_offset").cast("bigint") + F.col("frame_index"))
-    return [at.asc_nulls_last(), F.when(inside, F.col("in_concatenation_number")).asc_nulls_last(), F.when(inside & (F.col("concatenation_offset").isNotNull() | F.col("in_concatenation_number").isNotNull() | F.lit(True)), F.col("frame_index")).asc_nulls_last(), *geometry_order()]
+    return [at.asc_nulls_last(), F.when(inside, F.col("in_concatenation_number")).asc_nulls_last(), F.when(inside, F.col("frame_index")).asc_nulls_last(), *geometry_order()]
 
 
 def series_stacks(frames: DataFrame) -> DataFrame:

@@ -42,6 +42,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIR
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether the file system of the path, as Spark's readers resolve it, has it."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 

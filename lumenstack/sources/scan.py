@@ -7,7 +7,6 @@ the header parser, an Arrow function over (path, content).
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -17,6 +16,7 @@ from pyspark.sql import types as T
 
 from lumenstack.functions.text import label
 from lumenstack.operators.filters import FORMATS, ScanFilter, scan_filter
+from lumenstack.session import path_exists
 from lumenstack.sources import dicom, raster
 
 #: Columns that every parsed header has.
@@ -44,8 +44,9 @@ def sniff(content: Column) -> Column:
 
 def candidates(spark: SparkSession, paths: Sequence[str], recursive: bool = True) -> tuple[list[str], DataFrame]:
     """Paths that exist, and records of those that don't. Links below a folder are not followed by the reader."""
-    found = [p for p in paths if os.path.exists(p)]
-    lost = [(p, "skipped", "input_path_unavailable") for p in paths if not os.path.exists(p)]
+    there = {p: bool(p) and path_exists(spark, p) for p in paths}
+    found = [p for p in paths if there[p]]
+    lost = [(p, "skipped", "input_path_unavailable") for p in paths if not there[p]]
     return found, spark.createDataFrame(lost, "path string, disposition string, reason string")
 
 

@@ -15,24 +15,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lumenstack.operators.catalog import delta_page, latest, with_revisions
+from lumenstack.session import path_exists
 
 
 def event_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-
-
 def append_changes(stream: DataFrame, table: str, checkpoint: str, order: list[str], classify: Callable[[DataFrame], DataFrame] = lambda df: df, poll: str | None = None) -> StreamingQuery:
     """Append each micro-batch, with revisions, to `table/batch=<id>`; `poll` is a trigger interval, without it all that is there is read once."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         before = 0
-        if _exists(spark, table):
+        if path_exists(spark, table):
             before = spark.read.parquet(table).where(F.col("batch") < batch_id).agg(F.max("revision")).first()[0] or 0
         with_revisions(classify(batch), order, before).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
 
