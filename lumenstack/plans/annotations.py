@@ -187,6 +187,11 @@ def quantized_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op_log_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Envelopes made of events, folded by user: outcomes with optimistic revisions (ST-8 to ST-12)."""
+    return oplog.op_results(envelopes(spark, sf_dir))
+
+
+def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as operations on five records a user: the first creates, purchases delete, all others update."""
     record = F.format_string("u%d-%d", F.col("user_id"), F.col("event_id") % 5)
     n = F.row_number().over(W.partitionBy("user_id", record).orderBy("event_id"))
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", record.alias("id"), n.alias("n"))
@@ -196,8 +201,7 @@ def op_log_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("event_type") == "purchase", F.to_json(F.struct(F.lit("delete_annotation").alias("type"), "id", (F.col("n") - 1).alias("base_rev"), created.alias("snapshot"))))
         .otherwise(F.to_json(F.struct(F.lit("update_annotation").alias("type"), "id", F.lit("f").alias("file"), (F.col("n") - 1).alias("base_rev"), F.struct(F.col("event_type").alias("class")).alias("after"))))
     )
-    ops = rows.select(F.col("user_id").cast("string").alias("store"), F.col("event_id").alias("seq"), F.col("event_id").cast("string").alias("op_id"), op.alias("op"))
-    return oplog.op_results(ops)
+    return rows.select(F.col("user_id").cast("string").alias("store"), F.col("event_id").alias("seq"), F.col("event_id").cast("string").alias("op_id"), op.alias("op"))
 
 
 @query("minimal_diff")

@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from lumenstack.plans import annotations, arrays, catalog, columns, links, privacy  # noqa: F401
+    from lumenstack.plans import annotations, arrays, catalog, columns, links, objects, privacy  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
