@@ -186,10 +186,15 @@ def blake3(data: bytes) -> str:
 
 
 def pixel_digest(rows: int, columns: int, samples: int, bits: int, form: int, data: bytes) -> str | None:
-    """Digest of a 24-byte layout header (six little-endian words: version 1, rows, columns, samples, bits, form) and interleaved samples."""
-    if len(data) != rows * columns * samples * (bits // 8):
+    """Digest of a 24-byte layout header and interleaved little-endian samples; None if they don't fit together.
+
+    The header is six little-endian words: rows, columns, samples a pixel, bits a sample (8, 16, 32 or 64), the
+    samples' form (0 unsigned, 1 signed, 2 floating point) and 0, for interleaved.
+    """
+    size = rows * columns * samples * (bits // 8)
+    if bits not in (8, 16, 32, 64) or not size or len(data) != size:
         return None
-    return blake3(struct.pack("<6I", 1, rows, columns, samples, bits, form) + data)
+    return blake3(struct.pack("<6I", rows, columns, samples, bits, form, 0) + data)
 
 
 def file_digests(files: DataFrame) -> DataFrame:

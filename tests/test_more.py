@@ -194,3 +194,10 @@ def test_command_line():
     assert args.filter[0].column == "modality" and args.formats == ["dicom", "png"] and args.view == "counts"
     with pytest.raises(SystemExit):
         parser().parse_args(["/data", "--filter", "nope"])
+
+
+def test_pixel_digest_header():
+    own = struct.pack("<6I", 1, 2, 1, 16, 1, 0)
+    assert S.pixel_digest(1, 2, 1, 16, 1, b"abcd") == S.blake3(own + b"abcd")
+    assert S.pixel_digest(1, 2, 1, 16, 0, b"abcd") != S.pixel_digest(1, 2, 1, 16, 1, b"abcd")
+    assert S.pixel_digest(1, 2, 1, 16, 1, b"abc") is None and S.pixel_digest(1, 32, 1, 1, 0, b"abcd") is None and S.pixel_digest(0, 2, 1, 8, 0, b"") is None
