@@ -1,6 +1,8 @@
 """Document fingerprints by Order MinHash, in DataFrame expressions only.
 
-The k-mers of a text are its runs of k consecutive words (a text of fewer words is one k-mer). Each
+The k-mers of a text are its runs of k consecutive words (a text of fewer words is one k-mer). A text of
+over LONG_WORD characters a word, as where a script has no spaces, is cut into pieces instead, the runs of
+PIECE characters that start at each character, which then stand for its words. Each
 k-mer is numbered by its occurrence, and (k-mer, occurrence) is hashed; the hash's first bits choose
 one of `bins` bins, the next ones its rank there. In each bin the `l` k-mers of least rank are taken,
 put back into text order, and their tuple is hashed: one entry (bin, tuple hash) of the signature.
@@ -11,7 +13,7 @@ Occurrences are numbered without explode or shuffle: (hash, position) packed in
 primitives, runs of equal hashes are found, and the numbers are the sequences 1..run length.
 
 A text without words has an empty signature; two of them are alike (1.0), one and a text with words
-are not (0.0). Null text counts as empty. Texts may have up to 2^26 words.
+are not (0.0). Null text counts as empty. Texts may have up to 2^26 words or pieces, more are an error.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 
 K, L, BINS_LOG2 = 2, 2, 6
 POS = 26  # bits of a position
+LONG_WORD, PIECE = 32, 4
 #: Bytes of text that one ordered bucket should hold.
 BUCKET_BYTES = 32 << 20
 SPREAD = 4
@@ -41,9 +44,16 @@ def with_signature(df: DataFrame, text: str, out: str, k: int = K, l: int = L, b
     top = -(1 << bin_shift)
     pos = f"{low}L"
     trimmed = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(SPACES))
-    df = df.withColumn("_w", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+")))
+    words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
+    df = df.withColumns({"_w": words, "_x": trimmed})
+    length = F.char_length("_x")
+    unspaced = (length > LONG_WORD * F.size("_w")) & (length > PIECE)
+    df = df.withColumn("_c", F.when(unspaced, F.regexp_extract_all("_x", F.lit("(?s)."), F.lit(0))))
+    piece = ", ".join(f"_c[i+{j}]" for j in range(PIECE))
+    df = df.selectExpr(*keep, f"if(_c is null, _w, transform(sequence(0, size(_c) - {PIECE}), i -> concat({piece}))) as _w")
     kmer = ", ".join(f"_w[i+{j}]" for j in range(k))
-    packed = f"""case when size(_w) >= {k} then transform(sequence(0, size(_w) - {k}), i -> (xxhash64({kmer}) & ~{pos}) | i)
+    packed = f"""case when size(_w) > {1 << POS} then raise_error('a text has over 2^{POS} words or pieces')
+                      when size(_w) >= {k} then transform(sequence(0, size(_w) - {k}), i -> (xxhash64({kmer}) & ~{pos}) | i)
                       when size(_w) > 0 then array(xxhash64(array_join(_w, ' ')) & ~{pos})
                       else cast(array() as array<bigint>) end"""
     df = df.selectExpr(*keep, f"{packed} as _p")

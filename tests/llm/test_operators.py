@@ -584,7 +584,9 @@ def signature(text, k=2, l=2, bins=6, pos=26):
         return seed
 
     as_long = lambda x: (x & (1 << 64) - 1).to_bytes(8, "little")
-    words = SPACED.findall(text or "")
+    words, whole = SPACED.findall(text or ""), (text or "").strip(" \t\n\x0b\x0c\r")
+    if len(whole) > 32 * len(words) and len(whole) > 4:
+        words = [whole[i : i + 4] for i in range(len(whole) - 3)]
     runs = [words[i : i + k] for i in range(len(words) - k + 1)] if len(words) >= k else [[" ".join(words)]] * bool(words)
     low_bits = (1 << pos) - 1
     hashes = [chain([w.encode() for w in r]) & ~low_bits & (1 << 64) - 1 for r in runs]
@@ -649,6 +651,22 @@ def test_likeness_falls_with_edits_and_with_order(spark):
     assert like[0] == 1.0 and like[0] > like[1] > like[2] and like[3] < 0.8
 
 
+def test_texts_without_spaces(spark):
+    from lumenstack.llm.order_minhash import edited_fingerprints, fingerprints
+
+    rnd = random.Random(2)
+    signs = [chr(rnd.randrange(0x4E00, 0x9FFF)) for _ in range(2000)]
+    near, other = list(signs), [chr(rnd.randrange(0x4E00, 0x9FFF)) for _ in range(2000)]
+    near[::100] = ["\U0001f600"] * 20
+    texts = ["".join(x) for x in (signs, signs, near, other)]
+    rows = {r.doc_id: r for r in fingerprints(make_docs(spark, texts)).collect()}
+    assert all(sorted(rows[i].signature) == signature(t) for i, t in enumerate(texts))
+    like = [likeness(rows[0].signature, rows[i].signature) for i in (1, 2, 3)]
+    assert like[0] == 1.0 > like[1] > 0.3 and like[2] < 0.1 and rows[0].fingerprint == rows[1].fingerprint
+    edited = edited_fingerprints(make_docs(spark, texts)).where("doc_id = 3").first()
+    assert 0 < edited.near_edited < 1
+
+
 def test_next_text_over_buckets(spark):
     from lumenstack.llm.order_minhash import edited_fingerprints
 
