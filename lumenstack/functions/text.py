@@ -67,6 +67,11 @@ def path_parts(c: Column) -> Column:
     return F.filter(F.split(c, "/"), lambda p: p != "")
 
 
+def written_parts(c: Column) -> Column:
+    """Components as they are written, empty ones included."""
+    return F.split(c, "/")
+
+
 def normalized_path(c: Column) -> Column:
     """`.` and `..` resolved lexically."""
     parts = F.aggregate(
