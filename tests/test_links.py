@@ -43,3 +43,45 @@ def test_components_pass_over_empty_ones(spark):
     names = spark.createDataFrame([("en/6",)], "name string")
     files = spark.createDataFrame([("/a/en/6/",), ("/a/en//6",), ("/a/xen/6",)], "path string")
     assert sorted(r.path for r in links.path_suffix_join(names, files).collect()) == ["/a/en//6", "/a/en/6/"]
+
+
+def most_rows(df):
+    """The most rows that a node of the plan made."""
+    df.collect()
+
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(node.plan())
+        own = node.metrics().get("numOutputRows")
+        return max([own.get().value() if own.isDefined() else 0, *(walk(node.children().apply(i)) for i in range(node.children().size()))])
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_many_edges_and_files_of_one_series(spark, with_tables):
+    lines = [(i, 6, 5 * i) for i in range(300)] + [(i, n, i) for i in range(40) for n in range(1, 6)] + [(None, 6, 5), (None, 1, 5), (7, None, 5), (50, 2, None), (51, 1, 10**6), (3, 6, 4)]
+    parts = [(i, "a", "Brand#1" if i % 2 else "Brand#2", 7) for i in range(600)] + [(i, "b", "Brand#1", 7) for i in range(300)] + [(None, "c", "Brand#1", 7), (900, "d", None, 7), (901, "e", "Brand#1", 8)]
+    folder = with_tables(
+        lineitem=spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long"),
+        part=spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_size int"),
+    )
+    rows = same_as_sql(spark, folder, "resolve_edges")
+    assert max(r[2] for r in rows) == 600 and [None, None, 0, "missing"] in rows  # columns by name: edge_id, first_match, n_matches, status
+    assert most_rows(registry.queries()["resolve_edges"](spark, folder)) < 10_000  # there are 179,400 pairs
+
+
+def test_edges_equal_brute_force(spark):
+    import itertools
+
+    some = lambda *values: [None, *values]
+    edges = [(i, "source_image", c, u, s, []) for i, (c, u, s) in enumerate(itertools.product(some("c", "d"), some("u", "v", "w"), some("s", "t")))]
+    files = [(i // 2, f"/{i % 3}", c, u, s, i % 3) for i, (c, u, s) in enumerate(list(itertools.product(some("c", "d"), some("u", "v"), some("s", "t"))) * 2)]
+    left = spark.createDataFrame(edges, "edge_id int, relationship string, sop_class string, sop_instance string, series string, frame_numbers array<int>")
+    right = spark.createDataFrame(files, "file_index int, path string, sop_class string, sop_instance string, series string, frame_count int")
+    fits = lambda e, f: (e[3] or e[4]) and all(e[k] is None or e[k] == f[k] for k in (2, 3, 4))
+    want = {e[0]: sorted((f[0], f[1]) for f in files if fits(e, f)) for e in edges}
+    assert {r.edge_id: [(m.file_index, m.path) for m in r.matches] for r in links.resolve_edges(left, right).collect()} == want
+    assert {r.edge_id: (r.n_matches, r.first_match and r.first_match[:2]) for r in links.count_matches(left, right).collect()} == {i: (len(m), m[0] if m else None) for i, m in want.items()}
