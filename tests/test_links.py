@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from lumenstack import registry
 from lumenstack.operators import links
@@ -85,3 +86,33 @@ def test_edges_equal_brute_force(spark):
     want = {e[0]: sorted((f[0], f[1]) for f in files if fits(e, f)) for e in edges}
     assert {r.edge_id: [(m.file_index, m.path) for m in r.matches] for r in links.resolve_edges(left, right).collect()} == want
     assert {r.edge_id: (r.n_matches, r.first_match and r.first_match[:2]) for r in links.count_matches(left, right).collect()} == {i: (len(m), m[0] if m else None) for i, m in want.items()}
+
+
+def labels_and_files(spark, n_labels, n_files):
+    """A patient with all labels and files; some labels on frames, one series, a study that is missing, a folder, and one cleared."""
+    labels = spark.range(n_labels).selectExpr("id AS event_id", "'patient:p' AS target", "'patient' AS target_kind", "'v' AS value")
+    odd = [(-1, "f1#3", "frame", "v"), (-2, "series:s", "series", "w"), (-3, "study:missing:f2", "study", "v"), (-4, "f1", "folder", "v"), (-5, "f1", "file", None), (-6, "f0", "file", "v"), (-6, "f0", "file", "v"), (-7, None, "file", "v"), (-8, "nothing", "file", "v")]
+    files = spark.range(n_files).selectExpr("id AS file_index", "'f' || id AS file_key", "'p' AS patient_id", "'' AS study_instance_uid", "if(id % 2 = 0, 's', NULL) AS series_instance_uid")
+    return labels.union(spark.createDataFrame(odd, "event_id long, target string, target_kind string, value string")), files
+
+
+def test_labels_of_targets_in_many_blocks(spark):
+    labels, files = labels_and_files(spark, 90, 530)
+    wanted = sorted([(i, f) for i in range(90) for f in range(530)] + [(-2, f) for f in range(0, 530, 2)] + [(-1, 1), (-3, 2), (-6, 0), (-6, 0)])
+    for block in (4, 300, 4096):
+        rows = links.labels_of_file(labels, files, block=block)
+        assert rows.columns == ["event_id", "target", "target_kind", "value", "file_index"]
+        assert sorted((r.event_id, r.file_index) for r in rows.collect()) == wanted
+        assert {tuple(r)[:4] for r in rows.where("event_id IN (-1, -2)").collect()} == {(-1, "f1#3", "frame", "v"), (-2, "series:s", "series", "w")}
+    assert links.labels_of_file(labels.where("event_id = -8"), files, ["event_id"]).collect() == []
+
+
+def test_labels_of_one_target_take_little_space_and_many_tasks(spark, tmp_path):
+    labels, files = labels_and_files(spark, 220, 20_000)
+    n, out = 220 * 20_000 + 10_000 + 4, f"{tmp_path}/out"
+    rows = links.labels_of_file(labels, files).select("event_id", "file_index")
+    of_task = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(of_task) == n
+    assert max(of_task) < n / 2
+    rows.write.parquet(out)
+    assert sum(os.path.getsize(f"{out}/{f}") for f in os.listdir(out) if f.endswith(".parquet")) < n / 2
